@@ -31,3 +31,22 @@ def op2_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = packing.pack(common.table(spark, sf_dir, "documents"), packing.PackingConfig(tokenizer_path()))
     return out.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+#: A document is of good quality from this score on.
+QUALITY_THRESHOLD = 0.3
+
+
+@_query
+def op1_attention_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document, by a model that never saw the held-out fifth."""
+    from spindrift.llm import quality
+
+    documents, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    model = quality.train(documents, labels, quality.QualityConfig(), ~quality.held_out("doc_id", 5, 0))
+    return quality.score(documents, model).select(
+        "doc_id",
+        quality.held_out("doc_id", 5, 0).alias("held_out"),
+        "score",
+        (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"),
+    )
