@@ -50,3 +50,14 @@ def op1_attention_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+@_query
+def op5_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by trees that never saw the held-out quarter."""
+    from spindrift.llm import langid, quality
+
+    documents = common.table(spark, sf_dir, "documents")
+    model = langid.train(documents, langid.LangConfig(), ~quality.held_out("doc_id", 4, 2))
+    out = langid.predict(documents, model)
+    return out.select("doc_id", quality.held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "bits_per_byte")
