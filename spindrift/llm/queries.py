@@ -61,3 +61,12 @@ def op5_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.train(documents, langid.LangConfig(), ~quality.held_out("doc_id", 4, 2))
     out = langid.predict(documents, model)
     return out.select("doc_id", quality.held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+@_query
+def op4_link_graph_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url."""
+    from spindrift.llm.urlgraph import Rule, judge
+
+    rules = [Rule("block", "net/"), Rule("allow", "example.net/en/"), Rule("block", "example.com/de/"), Rule("allow", "org/fr/")]
+    return judge(common.table(spark, sf_dir, "pages"), rules)
