@@ -70,3 +70,21 @@ def op4_link_graph_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rules = [Rule("block", "net/"), Rule("allow", "example.net/en/"), Rule("block", "example.com/de/"), Rule("allow", "org/fr/")]
     return judge(common.table(spark, sf_dir, "pages"), rules)
+
+
+@_query
+def op9_warc_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record of archives in the shared folder, read back from there."""
+    from spindrift.llm import warc
+
+    path = common.new_path(spark, "warc")
+    warc.write(common.table(spark, sf_dir, "pages"), path)
+    number = lambda c: F.regexp_extract(c, "^<urn:spindrift:page:(-?[0-9]+)>$", 1).try_cast("long")
+    return warc.read(spark, path).select(
+        number("record_id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("type").alias("record_type"),
+        number("refers_to").alias("refers_to"),
+        "intact",
+    )
