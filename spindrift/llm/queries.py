@@ -88,3 +88,11 @@ def op9_warc_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
         number("refers_to").alias("refers_to"),
         "intact",
     )
+
+
+@_query
+def op6_epsilon_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.98 or more between vectors of one label, and their components."""
+    from spindrift.llm import vectors
+
+    return vectors.links(common.table(spark, sf_dir, "embeddings"), vectors.VectorConfig(threshold=0.98))
