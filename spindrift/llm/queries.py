@@ -96,3 +96,12 @@ def op6_epsilon_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spindrift.llm import vectors
 
     return vectors.links(common.table(spark, sf_dir, "embeddings"), vectors.VectorConfig(threshold=0.98))
+
+
+@_query
+def op7_greedy_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item of which it holds half or more."""
+    from spindrift.llm import decontaminate
+
+    found = decontaminate.leaks(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "coverage", "item_words", "marked_words", F.size("tiles").alias("n_tiles"))
