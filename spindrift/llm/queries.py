@@ -105,3 +105,12 @@ def op7_greedy_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = decontaminate.leaks(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "coverage", "item_words", "marked_words", F.size("tiles").alias("n_tiles"))
+
+
+@_query
+def op10_debruijn_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the words of repeated 35-word windows."""
+    from spindrift.llm import substrings
+
+    out = substrings.deduplicate(common.table(spark, sf_dir, "documents"), substrings.SubstringConfig())
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
