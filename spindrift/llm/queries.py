@@ -114,3 +114,11 @@ def op10_debruijn_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame
 
     out = substrings.deduplicate(common.table(spark, sf_dir, "documents"), substrings.SubstringConfig())
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@_query
+def op8_adaptive_prefix_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 5-word shingles have a similarity of 0.8 or more."""
+    from spindrift.llm import jaccard
+
+    return jaccard.similar_components(common.table(spark, sf_dir, "documents"), jaccard.JaccardConfig())
