@@ -311,3 +311,27 @@ def similar_components(documents: DataFrame, config: JaccardConfig = JaccardConf
     rows = docs.join(final, ["cls", "check"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def one_of_each(documents: DataFrame, config: JaccardConfig = JaccardConfig()) -> DataFrame:
+    """The rows of ``documents``, all columns, with one row of each component: that of its smallest id.
+
+    Rows without an id or without words stay; of rows with one id one stays.
+    """
+    found = common.store(similar_components(documents, config), "components")
+    per_id = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("times"))
+    # who goes, and which ids occur several times; all others stay where they are
+    touched = common.store(per_id.where("doc_id <> component_id or times > 1").select("doc_id", (F.col("doc_id") != F.col("component_id")).alias("goes")), "touched")
+    shipped = bloom.build(touched.select("doc_id"), touched.count())
+
+    @F.pandas_udf("boolean")
+    def might(ids: pd.Series) -> pd.Series:
+        return pd.Series(bloom.Bloom(shipped.value).might_hold(ids.to_numpy(np.int64)))
+
+    # the rows travel as one struct, whatever their other columns are called
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    rows = rows.withColumn("doc_id", F.col("row.doc_id")).withColumn("maybe", F.col("doc_id").isNotNull() & might(F.coalesce("doc_id", F.lit(0))))
+    met = rows.where("maybe").join(touched, "doc_id", "left").where("goes is null or not goes")
+    several = met.where("goes is not null").groupBy("doc_id").agg(F.min_by("row", F.xxhash64("row.text")).alias("row"))
+    kept = rows.where("not maybe").select("row").unionByName(met.where("goes is null").select("row")).unionByName(several.select("row"))
+    return kept.select("row.*")

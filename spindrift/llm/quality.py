@@ -208,3 +208,19 @@ def score(documents: DataFrame, model: QualityModel, id_col: str = "doc_id", tex
                 yield pa.record_batch([part.column(0), pa.array(np.clip(p, 0, 1))], ["doc_id", "score"])
 
     return common.pick(documents, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+
+
+def keep_good(documents: DataFrame, model: QualityModel, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``documents``, all columns, with a score of at least ``threshold``; each is judged where it lies."""
+    spark = documents.sparkSession
+    common.prepare(spark)
+    shipped, at = spark.sparkContext.broadcast(model), documents.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                p = shipped.value.score(*encode(part.column(at), shipped.value.config.passage_bytes))
+                yield part.filter(pa.array(p >= threshold))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -38,6 +38,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spindrift.llm import bloom, common
 from spindrift.llm.words import Words, mix, ngrams, words
@@ -201,45 +202,30 @@ def repeated_spans(documents: DataFrame, config: SubstringConfig = SubstringConf
     return whole.unionByName(part.select("doc_id", "doc_key", "begin", (F.col("begin") + config.window).alias("end")))
 
 
-_KEPT = "doc_id long, n_words long, n_removed long, kept string"
-
-
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns doc_id, text, spans (null: none)."""
-    for batch in _small(batches, 256):
-        w = words(batch.column(1))
-        gone = np.zeros(len(w.start) + 1, np.int64)
-        for d, spans in enumerate(batch.column(2).to_pylist()):
-            for s in spans or ():
-                gone[w.of[d] + s["begin"]] += 1
-                gone[w.of[d] + s["end"]] -= 1
-        gone = np.cumsum(gone)[:-1] > 0
-        lost = np.concatenate([[0], np.cumsum(gone)])
-        # the kept words and a space behind each are copied byte by byte, all documents at once
-        start, end = w.start[~gone], w.end[~gone]
-        size = end - start + 1
-        total = np.concatenate([[0], np.cumsum(size)])
-        source = np.arange(total[-1]) - np.repeat(total[:-1], size) + np.repeat(start, size)
-        out = w.data[np.minimum(source, max(len(w.data) - 1, 0))] if len(w.data) else np.zeros(0, np.uint8)
-        out[total[1:] - 1] = 32
-        n_words, n_removed = np.diff(w.of), np.diff(lost[w.of])
-        bounds = total[(w.of - lost[w.of])]
-        data = out.tobytes()
-        kept = [data[a : b - 1].decode("utf-8") if b > a else "" for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-        yield pa.record_batch([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
-
-
-def deduplicate(documents: DataFrame, config: SubstringConfig = SubstringConfig()) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept`` (the words left, joined by one space) for every row."""
-    texts, spans, might = _with_spans(documents, config)
-    same = (F.col("texts.doc_key") == F.col("found.doc_key")) & F.col("texts.doc_id").eqNullSafe(F.col("found.doc_id"))
-    rows = texts.where(might).alias("texts").join(spans.alias("found"), same, "left").select("texts.doc_id", "text", "spans")
-    clean = texts.where(~might).select("doc_id", "text", F.lit(None).cast("array<struct<begin:long,end:long>>").alias("spans"))
-    return rows.unionByName(clean).mapInArrow(_remove, _KEPT)
-
-
-def _with_spans(documents: DataFrame, config: SubstringConfig):
-    """Texts with ``doc_key``, spans by ``doc_key``, and a test that says no only for documents without spans."""
+def _cut(column: pa.Array, spans: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Words, words removed and what is left (joined by one space) of each text."""
+    w = words(column)
+    gone = np.zeros(len(w.start) + 1, np.int64)
+    for d, ranges in enumerate(spans.to_pylist()):
+        for s in ranges or ():
+            gone[w.of[d] + s["begin"]] += 1
+            gone[w.of[d] + s["end"]] -= 1
+    gone = np.cumsum(gone)[:-1] > 0
+    lost = np.concatenate([[0], np.cumsum(gone)])
+    # the kept words and a space behind each are copied byte by byte, all documents at once
+    start, end = w.start[~gone], w.end[~gone]
+    size = end - start + 1
+    total = np.concatenate([[0], np.cumsum(size)])
+    source = np.arange(total[-1]) - np.repeat(total[:-1], size) + np.repeat(start, size)
+    out = w.data[np.minimum(source, len(w.data) - 1)] if len(w.data) else np.zeros(0, np.uint8)
+    out[total[1:] - 1] = 32
+    bounds, data = total[w.of - lost[w.of]].tolist(), out.tobytes()
+    kept = [data[a : b - 1].decode("utf-8") if b > a else "" for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    return np.diff(w.of), np.diff(lost[w.of]), kept
+
+
+def _with_spans(documents: DataFrame, config: SubstringConfig) -> DataFrame:
+    """``row`` (all columns as one struct), ``text`` and ``spans`` (null: none) of every row."""
     spans = repeated_spans(documents, config).distinct()
     spans = spans.groupBy("doc_id", "doc_key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))  # bounded by a document
     spans = common.store(spans, "spans")
@@ -249,4 +235,38 @@ def _with_spans(documents: DataFrame, config: SubstringConfig):
     def might(keys: pd.Series) -> pd.Series:
         return pd.Series(bloom.Bloom(shipped.value).might_hold(keys.to_numpy(np.int64)))
 
-    return _texts(documents), spans, might(F.col("doc_key"))
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    rows = rows.withColumn("text", F.col("row.text")).withColumn("doc_id", F.col("row.doc_id"))
+    rows = rows.withColumn("doc_key", F.xxhash64("doc_id", "text")).withColumn("maybe", might("doc_key"))
+    same = (F.col("rows.doc_key") == F.col("found.doc_key")) & F.col("rows.doc_id").eqNullSafe(F.col("found.doc_id"))
+    met = rows.where("maybe").alias("rows").join(spans.alias("found"), same, "left").select("row", "text", "spans")
+    clean = rows.where("not maybe").select("row", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    return met.unionByName(clean)
+
+
+def deduplicate(documents: DataFrame, config: SubstringConfig = SubstringConfig()) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept`` (the words left, joined by one space) for every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _small(batches, 256):
+            n_words, n_removed, kept = _cut(batch.column(1), batch.column(2))
+            yield pa.record_batch([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+
+    rows = _with_spans(common.pick(documents, "doc_id", "text"), config).select("row.doc_id", "text", "spans")
+    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+
+
+def without_repeats(documents: DataFrame, config: SubstringConfig = SubstringConfig()) -> DataFrame:
+    """All rows and columns of ``documents``; texts that hold repeated words become what is left of them."""
+    rows = _with_spans(documents, config)
+    schema = T.StructType([rows.schema["row"], T.StructField("kept", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _small(batches, 256):
+            _, n_removed, kept = _cut(batch.column(1), batch.column(2))
+            yield pa.record_batch([batch.column(0), pa.array([k if n else None for k, n in zip(kept, n_removed, strict=True)], pa.string())], ["row", "kept"])
+
+    out = rows.select("row", "text", "spans").mapInArrow(run, schema)
+    text = F.coalesce("kept", "row.text")
+    new = {"text": text} | ({"n_chars": F.when(F.col("kept").isNotNull(), F.length("kept")).otherwise(F.col("row.n_chars")).cast("long")} if "n_chars" in documents.columns else {})
+    return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in documents.columns])
