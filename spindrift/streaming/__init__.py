@@ -1 +1 @@
-"""streaming of the engine."""
+"""Nothing here: the engine's model is batch only, and no streaming operator is offered."""
