@@ -33,6 +33,16 @@ def op2_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+@_query
+def op3_viterbi_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many tokens every document has under the pieces of a public vocabulary."""
+    import public_tokenizers
+
+    from spindrift.llm import viterbi
+
+    return viterbi.token_counts(common.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 #: A document is of good quality from this score on.
 QUALITY_THRESHOLD = 0.3
 

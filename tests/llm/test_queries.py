@@ -1,0 +1,52 @@
+"""The registered queries over the small tables, against plain versions."""
+
+from __future__ import annotations
+
+import hashlib
+import zlib
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as contract
+import corpus_pipeline
+from spindrift.llm.queries import QUERIES
+
+
+def rows(sf_dir, sql):
+    con = duckdb.connect()
+    for t in ("documents", "labels", "pages", "embeddings", "benchmark"):
+        con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    return con.execute(sql).fetchall()
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_runs_over_its_whole_table(spark, sf_dir, name):
+    out = QUERIES[name](spark, sf_dir)
+    table = {"op4": "pages", "op9": "pages", "op6": "embeddings"}.get(name.split("_")[0], "documents")
+    (n,) = rows(sf_dir, f"select count(*) from {table}")[0]
+    got = out.count()
+    assert got >= n if name.startswith("op2") else got <= n if name.startswith("op7") else got == n
+
+
+def test_held_out_columns(spark, sf_dir):
+    for r in QUERIES["op5_ppm_language"](spark, sf_dir).collect():
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_archive_digests(spark, sf_dir):
+    want = {i: hashlib.sha256((h or "").encode()).hexdigest() for i, h in rows(sf_dir, "select page_id, html from pages")}
+    assert {r.page_id: r.payload_digest for r in QUERIES["op9_warc_boundary_chain"](spark, sf_dir).collect()} == want
+
+
+def test_pipeline(spark, sf_dir):
+    docs = columns = None
+    for name, stage in corpus_pipeline.STAGES:
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet") if docs is None else docs
+        columns = columns or docs.dtypes
+        before = docs.count()
+        docs = corpus_pipeline.common.store(stage(spark, docs, sf_dir), name)
+        assert docs.count() > 0 and (name == "packing" or (docs.dtypes == columns and docs.count() <= before))
+    assert docs.agg(F.sum("length")).first()[0] == corpus_pipeline.run(spark, sf_dir).agg(F.sum("length")).first()[0]
+    assert "pipeline" in contract.queries()
