@@ -47,8 +47,9 @@ class LangConfig:
 
 @dataclass
 class LangModel:
-    """``symbol``: byte -> symbol (0: not seen in training).  ``context``: symbols of the
-    last ``order`` bytes, as one number -> row; ``bits[row * symbols + s]``: code lengths of s."""
+    """``symbol``: byte -> symbol (the last: not seen in training; 0 stands before a text's start).
+    ``context``: symbols of the last ``order`` bytes, as one number -> row;
+    ``bits[row * symbols + s]``: code lengths of s."""
 
     languages: list[str]
     order: int
@@ -107,13 +108,14 @@ def build(languages: list[str], grams: np.ndarray, lang: np.ndarray, count: np.n
     """From counts of (order + 1)-grams, each packed with its last byte lowest; byte 0 stands before a text's start."""
     used = np.unique(np.concatenate([(grams >> (8 * k)) & 255 for k in range(order + 1)]))
     used = used[used > 0]
-    symbol = np.zeros(256, np.int64)
+    size, n_lang = len(used) + 2, len(languages)
+    symbol = np.full(256, size - 1, np.int64)
     symbol[used] = np.arange(len(used)) + 1
-    size, n_lang = len(used) + 1, len(languages)
     byte = symbol[grams & 255]
     key = np.zeros(len(grams), np.int64)  # the context, its latest symbol lowest
     for k in range(order, 0, -1):
-        key = key * size + symbol[(grams >> (8 * k)) & 255]
+        before = (grams >> (8 * k)) & 255
+        key = key * size + np.where(before > 0, symbol[before], 0)
     context, first, tables = np.zeros(size**order, np.int32), 0, []
     shorter, p = np.zeros(1, np.int64), np.full((1, size, n_lang), 1 / 256)
     for o in range(order + 1):
