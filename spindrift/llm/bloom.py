@@ -7,12 +7,14 @@ is decided exactly afterwards.  Its size follows the keys but never passes
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from spindrift.llm.words import mix
 
@@ -70,3 +72,14 @@ def build(keys: DataFrame, count: int) -> Broadcast:
     for r in pages.repartition("page").mapInArrow(merged, "page long, bits binary").toLocalIterator():
         full[512 * r.page : 512 * (r.page + 1)] = r.bits
     return keys.sparkSession.sparkContext.broadcast(bytes(full))
+
+
+def test(keys: DataFrame, count: int | None = None) -> Callable[[Column | str], Column]:
+    """A function of a column (long): false only if the value is surely not in the only column of ``keys``."""
+    shipped = build(keys, keys.count() if count is None else count)
+
+    @F.pandas_udf("boolean")
+    def might(values: pd.Series) -> pd.Series:
+        return pd.Series(Bloom(shipped.value).might_hold(values.to_numpy(np.int64)))
+
+    return might

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,12 +45,49 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    if _WORKSPACES:
+        _WORKSPACES[-1].append(path)
     df.write.parquet(path)
+    release(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path  # noqa: SLF001
     return out
 
 
+#: Paths stored in the workspaces that are open, the innermost last.
+_WORKSPACES: list[list[str]] = []
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Deletes on leaving all that was stored within, but for what the function it gives has stored."""
+    mine: list[str] = []
+    kept: list[str] = []
+    _WORKSPACES.append(mine)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = store(df, name)
+        kept.append(out._stored_at)  # noqa: SLF001
+        return out
+
+    try:
+        yield keep
+    finally:
+        _WORKSPACES.remove(mine)
+        for path in mine:
+            if path not in kept:
+                delete_path(spark, path)
+        if _WORKSPACES:
+            _WORKSPACES[-1].extend(kept)
+        release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver notice now which shuffles nobody can read any more; their files go then."""
+    gc.collect()
+    spark._jvm.System.gc()  # noqa: SLF001
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete what :func:`store` wrote for ``df``; only for tables nobody reads again."""
     path = getattr(df, "_stored_at", None)

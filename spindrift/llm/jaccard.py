@@ -15,10 +15,11 @@ pair is a candidate if it shares at least the smaller of its two ``l``.
 2. One pass: the prefixes' shingles; those of two classes or more go into a filter of
    bounded size.  One pass more gives the entries that pass it.
 3. Shingles of at most ``light`` classes: pairs that share enough of them are verified
-   by exact intersection.
+   by exact intersection, unless their sizes or parity bits already rule them out.  Each class's best candidate comes first; of the other pairs, only
+   those remain whose components are still apart.
 4. Shingles of more classes: each names the most central of its classes (its hub; the one
    whose shingles are the most common).  Classes that share a heavy shingle are in one hub's cluster.  Every
-   member is verified against the hub, so groups of near copies collapse without their
+   member is a candidate with the hub, so groups of near copies collapse without their
    pairs.  The members that still are in other components than the hub's are compared with all
    members of similar size, block by block inside tasks, which return spanning forests.
 
@@ -79,6 +80,14 @@ def shingle_sets(column: pa.Array, shingle: int) -> list[np.ndarray]:
     return out
 
 
+def _parities(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set, bits that every member flips one of: the xor of two differs in at most |A ^ B| bits."""
+    place = np.concatenate([s >> np.uint64(54) for s in sets] or [np.zeros(0, np.uint64)]).astype(np.int64)
+    at = np.repeat(np.arange(len(sets)), [len(s) for s in sets]) * (_PARITY * 64) + place
+    out = (np.bincount(at, minlength=len(sets) * _PARITY * 64) & 1).astype(np.uint8).reshape(-1, 64)
+    return np.packbits(out, axis=1).view(np.int64).reshape(len(sets), _PARITY)
+
+
 def _small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
@@ -94,7 +103,9 @@ def _fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return mix(one ^ two), mix(two + one)
 
 
-_FIRST = "doc_id long, doc_key long, n long, cls long, check long, page long, counts binary"
+_FIRST = "doc_id long, doc_key long, n long, cls long, check long, parity array<long>, page long, counts binary"
+#: 64-bit words of a set's parity bits.
+_PARITY = 16
 
 
 def _survey(documents: DataFrame, config: JaccardConfig) -> tuple[DataFrame, Broadcast, int]:
@@ -112,11 +123,11 @@ def _survey(documents: DataFrame, config: JaccardConfig) -> tuple[DataFrame, Bro
                     np.add.at(counts, (every & np.uint64(config.cells - 1)).astype(np.int64), 1)
             one, two = _fingerprints(sets)
             size = len(sets)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.nulls(size, pa.int64()), pa.nulls(size, pa.binary())], names)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(_parities(sets).tolist(), pa.list_(pa.int64())), pa.nulls(size, pa.int64()), pa.nulls(size, pa.binary())], names)
         pages = counts.reshape(-1, _PAGE)
         for k in np.array_split(np.flatnonzero(pages.any(1)), 16):
             none = pa.nulls(len(k), pa.int64())
-            yield pa.record_batch([none, none, none, none, none, pa.array(k, pa.int64()), pa.array([pages[i].tobytes() for i in k], pa.binary())], names)
+            yield pa.record_batch([none, none, none, none, none, pa.nulls(len(k), pa.list_(pa.int64())), pa.array(k, pa.int64()), pa.array([pages[i].tobytes() for i in k], pa.binary())], names)
 
     seen = common.store(_texts(documents).mapInArrow(run, _FIRST), "survey")
 
@@ -134,7 +145,7 @@ def _survey(documents: DataFrame, config: JaccardConfig) -> tuple[DataFrame, Bro
     pages = seen.where("page is not null").select("page", "counts").repartition("page")
     for r in pages.mapInArrow(merge, "page long, counts binary").toLocalIterator():
         counts[r.page] = np.frombuffer(r.counts, np.uint32)
-    docs = seen.where("page is null").select("doc_id", "doc_key", "n", "cls", "check")
+    docs = seen.where("page is null").select("doc_id", "doc_key", "n", "cls", "check", "parity")
     return docs, documents.sparkSession.sparkContext.broadcast(counts.reshape(-1)), int(counts.sum(dtype=np.uint64))
 
 
@@ -186,7 +197,7 @@ def _entries(documents: DataFrame, counts: Broadcast, total: int, config: Jaccar
 
 
 def _sets(documents: DataFrame, wanted: DataFrame, config: JaccardConfig) -> DataFrame:
-    """``cls, shingles`` of the documents in ``wanted`` (doc_key, cls)."""
+    """``cls, shingles``: one row of each class in ``wanted`` (doc_key), and a few of others."""
     shipped = bloom.build(wanted.select("doc_key"), wanted.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,20 +207,54 @@ def _sets(documents: DataFrame, wanted: DataFrame, config: JaccardConfig) -> Dat
             for part in _small(iter([batch.filter(pa.array(keep))])):
                 if part.num_rows:
                     sets = shingle_sets(part.column(1), config.shingle)
-                    yield pa.record_batch([part.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_key", "shingles"])
-
-    found = _texts(documents).select("doc_key", "text").mapInArrow(run, "doc_key long, shingles array<long>")
-    return found.join(wanted, "doc_key").groupBy("cls").agg(F.first("shingles").alias("shingles"))
-
-
-def _verify(pairs: DataFrame, sets: DataFrame, config: JaccardConfig) -> DataFrame:
-    """The pairs (a, b) of classes that are similar."""
+                    # a document that the filter let through by chance only adds a class that nobody asks for
+                    cls, _ = _fingerprints(sets)
+                    yield pa.record_batch([pa.array(cls.view(np.int64)), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["cls", "shingles"])
+
+    raw = common.store(_texts(documents).select("doc_key", "text").mapInArrow(run, "cls long, shingles array<long>"), "sets")
+    twice = common.store(raw.groupBy("cls").agg(F.count("*").alias("rows")).where("rows > 1").select("cls"), "twice")
+    if twice.isEmpty():  # the usual case: no document stands in several rows
+        return raw
+    once = raw.join(twice, "cls", "left_anti")
+    return common.store(once.unionByName(raw.join(twice, "cls").groupBy("cls").agg(F.first("shingles").alias("shingles"))), "sets")
+
+
+def _plausible(pairs: DataFrame, classes: DataFrame, config: JaccardConfig) -> DataFrame:
+    """The pairs (a, b) whose sizes and parity bits leave them a chance; no similar pair is lost."""
+    side = lambda c: classes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    unlike = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    # |A ^ B| <= (1 - t) / (1 + t) * (|A| + |B|)
+    near = (config.den + config.num) * unlike <= (config.den - config.num) * (F.col("n_a") + F.col("n_b"))
+    return met.where(near & (config.den * F.least("n_a", "n_b") >= config.num * F.greatest("n_a", "n_b"))).select(*pairs.columns)
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, config: JaccardConfig, few: bool = False) -> DataFrame:
+    """The pairs (a, b) of classes that are similar; ``few``: they need only some of the sets."""
+    if few:
+        sets = sets.where(bloom.test(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())("cls"))
     side = lambda c: sets.select(F.col("cls").alias(c), F.col("shingles").alias(f"of_{c}"))
     met = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
     both = F.size(F.array_intersect("of_a", "of_b"))
     return met.select("a", "b", both.alias("both"), (F.size("of_a") + F.size("of_b") - both).alias("either")).where(config.den * F.col("both") >= config.num * F.col("either")).select("a", "b")
 
 
+def _merge(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``id, component_id`` after these links too; only the components that they join are worked on."""
+    if found is None:
+        return common.store(components(links), "found")
+    mark = lambda c: found.select(F.col("id").alias(c), F.col("component_id").alias(f"in_{c}"))
+    ends = links.join(mark("a"), "a", "left").join(mark("b"), "b", "left").select(F.coalesce("in_a", "a").alias("a"), F.coalesce("in_b", "b").alias("b"))
+    ends = common.store(ends.where("a <> b").distinct(), "joins")
+    if ends.isEmpty():
+        return found
+    more = common.store(components(ends), "more")
+    into = more.select(F.col("id").alias("component_id"), F.col("component_id").alias("into"))
+    moved = found.join(into, "component_id", "left").select("id", F.coalesce("into", "component_id").alias("component_id"))
+    new = more.join(found.select("id"), "id", "left_anti")
+    return common.store(moved.unionByName(new), "found")
+
+
 def _compare(pdf: pd.DataFrame, config: JaccardConfig) -> pd.DataFrame:
     """A spanning forest of the similar pairs between the block's two sides."""
     x, y = pdf[pdf["left"]].reset_index(drop=True), pdf[~pdf["left"]].reset_index(drop=True)
@@ -272,8 +317,13 @@ def _clusters(members: DataFrame, sets: DataFrame, config: JaccardConfig) -> Dat
 def similar_components(documents: DataFrame, config: JaccardConfig = JaccardConfig()) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
     common.prepare(documents.sparkSession)
+    with common.workspace(documents.sparkSession) as keep:
+        return keep(_components(documents, config), "components")
+
+
+def _components(documents: DataFrame, config: JaccardConfig) -> DataFrame:
     docs, counts, total = _survey(documents, config)
-    classes = docs.where("n > 0 and doc_id is not null").groupBy("cls", "check").agg(F.min("doc_id").alias("least_id"), F.min("doc_key").alias("doc_key"), F.min("n").alias("n"))
+    classes = docs.where("n > 0 and doc_id is not null").groupBy("cls", "check").agg(F.min("doc_id").alias("least_id"), F.min("doc_key").alias("doc_key"), F.min("n").alias("n"), F.first("parity").alias("parity"))
     classes = common.store(classes, "classes")
     tokens = _entries(documents, counts, total, config, None).groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("token")
     tokens = common.store(tokens, "tokens")
@@ -285,30 +335,42 @@ def similar_components(documents: DataFrame, config: JaccardConfig = JaccardConf
     light = entries.where(F.col("df") <= config.light)
     one, two = (light.select("token", F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("need").alias(f"need_{c}")) for c in "ab")
     pairs = one.join(two, "token").where("a < b").where(config.den * F.least("n_a", "n_b") >= config.num * F.greatest("n_a", "n_b"))
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(F.least("need_a", "need_b")).alias("need")).where("shared >= need").select("a", "b")
-    heavy = entries.where(F.col("df") > config.light).select("hub", "cls", "n").distinct()
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(F.least("need_a", "need_b")).alias("need")).where("shared >= need").select("a", "b", "shared")
+    heavy = entries.where(F.col("df") > config.light).groupBy("hub", "cls").agg(F.min("n").alias("n"), F.count("*").alias("shared"))
     heavy = common.store(heavy, "heavy")
-    star = heavy.where("hub <> cls").select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b"))
-    pairs = common.store(pairs.unionByName(star).distinct(), "pairs")
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    wanted = common.store(classes.join(involved, "cls").select("doc_key", "cls"), "wanted")
-    sets = common.store(_sets(documents, wanted, config), "sets")
-    links = common.store(_verify(pairs, sets, config), "links")
+    star = heavy.where("hub <> cls").select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b"), "shared")
+    pairs = common.store(pairs.unionByName(star).groupBy("a", "b").agg(F.sum("shared").alias("shared")), "pairs")
+    pairs = common.store(_plausible(pairs, classes, config), "pairs")
+    ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
+    best = ends.groupBy("a").agg(F.max(F.struct("shared", "b"))["b"].alias("b"))
+    best = common.store(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "best")
+    # members of clusters are compared in 4 even if no pair of theirs with a hub is plausible
+    involved = ends.select(F.col("a").alias("cls")).unionByName(heavy.select("cls")).distinct()
+    wanted = common.store(classes.join(involved, "cls").select("doc_key"), "wanted")
+    sets = _sets(documents, wanted, config)
+    # everyone's best candidate first; then, of all others, only pairs that are still apart
+    links = common.store(_verify(best, sets, config), "links")
+    found = _merge(None, links)
+    mark = lambda c: found.select(F.col("id").alias(c), F.col("component_id").alias(f"in_{c}"))
+    apart = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(mark("a"), "a", "left").join(mark("b"), "b", "left")
+    apart = common.store(apart.where(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).select("a", "b"), "apart")
+    links = common.store(_verify(apart, sets, config, few=True), "links")
+    found = _merge(found, links)
     # members of heavy clusters that their hub didn't bring together
-    found = common.store(components(links), "found")
     label = lambda c, out: found.select(F.col("id").alias(c), F.col("component_id").alias(out))
     placed = heavy.join(label("cls", "own"), "cls", "left").join(label("hub", "main"), "hub", "left")
     placed = placed.withColumn("left", F.coalesce("own", "cls") != F.coalesce("main", "hub"))
     odd = placed.where("left").select("hub").distinct()
     members = common.store(placed.join(odd, "hub").select("hub", "cls", "n", "left"), "members")
     if not members.isEmpty():
-        links = links.unionByName(_clusters(members, sets, config))
-    # classes stand for their smallest ids
-    name = lambda c: classes.select(F.col("cls").alias(c), F.col("least_id").alias(f"id_{c}"))
-    named = links.distinct().join(name("a"), "a").join(name("b"), "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    joined = components(named)
-    final = classes.join(joined.withColumnRenamed("id", "least_id"), "least_id", "left").select("cls", "check", F.coalesce("component_id", "least_id").alias("component_id"))
-    rows = docs.join(final, ["cls", "check"], "left")
+        some = sets.where(bloom.test(members.select("cls").distinct())("cls"))
+        found = _merge(found, common.store(_clusters(members, some, config), "links"))
+    # a component's number is the smallest id of its classes
+    rooted = classes.join(found.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("component_id", "cls"))
+    rooted = common.store(rooted.select("cls", "check", "least_id", "root"), "rooted")
+    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    final = rooted.join(least, "root").select("cls", "check", "component_id")
+    rows = docs.drop("parity").join(final, ["cls", "check"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
@@ -318,16 +380,11 @@ def one_of_each(documents: DataFrame, config: JaccardConfig = JaccardConfig()) -
 
     Rows without an id or without words stay; of rows with one id one stays.
     """
-    found = common.store(similar_components(documents, config), "components")
+    found = similar_components(documents, config)
     per_id = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("times"))
     # who goes, and which ids occur several times; all others stay where they are
     touched = common.store(per_id.where("doc_id <> component_id or times > 1").select("doc_id", (F.col("doc_id") != F.col("component_id")).alias("goes")), "touched")
-    shipped = bloom.build(touched.select("doc_id"), touched.count())
-
-    @F.pandas_udf("boolean")
-    def might(ids: pd.Series) -> pd.Series:
-        return pd.Series(bloom.Bloom(shipped.value).might_hold(ids.to_numpy(np.int64)))
-
+    might = bloom.test(touched.select("doc_id"))
     # the rows travel as one struct, whatever their other columns are called
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
     rows = rows.withColumn("doc_id", F.col("row.doc_id")).withColumn("maybe", F.col("doc_id").isNotNull() & might(F.coalesce("doc_id", F.lit(0))))

@@ -88,16 +88,20 @@ def op9_warc_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spindrift.llm import warc
 
     path = common.new_path(spark, "warc")
-    warc.write(common.table(spark, sf_dir, "pages"), path)
     number = lambda c: F.regexp_extract(c, "^<urn:spindrift:page:(-?[0-9]+)>$", 1).try_cast("long")
-    return warc.read(spark, path).select(
-        number("record_id").alias("page_id"),
-        "payload_bytes",
-        "payload_digest",
-        F.col("type").alias("record_type"),
-        number("refers_to").alias("refers_to"),
-        "intact",
-    )
+    with common.workspace(spark) as keep:
+        warc.write(common.table(spark, sf_dir, "pages"), path)
+        found = warc.read(spark, path).select(
+            number("record_id").alias("page_id"),
+            "payload_bytes",
+            "payload_digest",
+            F.col("type").alias("record_type"),
+            number("refers_to").alias("refers_to"),
+            "intact",
+        )
+        found = keep(found, "pages")
+    common.delete_path(spark, path)  # the query's answer is in the digests; warc.write keeps its archives
+    return found
 
 
 @_query

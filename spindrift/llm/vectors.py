@@ -127,6 +127,11 @@ def _find(parent: np.ndarray, x: int) -> int:
 
 def links(vectors: DataFrame, config: VectorConfig = VectorConfig()) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors``."""
+    with common.workspace(vectors.sparkSession) as keep:
+        return keep(_links(vectors, config), "vectors")
+
+
+def _links(vectors: DataFrame, config: VectorConfig) -> DataFrame:
     cosine = common.store(clean(vectors), "units")
     classes = cosine.groupBy("label", "size", "unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
     classes = common.store(classes, "classes")
