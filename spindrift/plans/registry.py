@@ -125,16 +125,16 @@ class _GainKernel(gas.Kernel):
 
 def _fold_moves(g: Graph) -> DataFrame:
     out = gas.run(g, _GainKernel(g.num_edges, 0.0), 1)
-    return out.select("id", F.col("value.cid").alias("parent"), F.round("value.gain", 12).alias("gain"))
+    return out.select("id", F.col("value.cid").alias("parent"), (F.round("value.gain", 12) + F.lit(0.0)).alias("gain"))
 
 
 _gain = "w.src, w.dst, 2 * (1 / (2.0::double * m) - a.q * b.q) gain"
 _strength = ", q as (select od.id, (od.degree + id_.degree) / (2.0::double * m) q from od join id_ using (id), g), w as (select distinct src, dst from d), gains as (select " + _gain + " from w join q a on a.id = w.src join q b on b.id = w.dst, g) "
 _best = ", best as (select dst, src, gain from (select *, row_number() over (partition by dst order by gain desc, src) r from gains where gain > {t}) where r = 1), moves as (select v.id, coalesce(least(v.id, best.src), v.id) parent, coalesce(best.gain, {t}) gain from v left join best on best.dst = v.id) "
-_add("gas_gather", "D1", lambda g: gas.messages(g, k := _GainKernel(g.num_edges, 0.0), gas.initial(g, k)).select("src", "dst", F.round("message", 12).alias("message")), _strength + "select d.src, d.dst, round(gain, 12) message from d join gains on gains.src = d.src and gains.dst = d.dst")
+_add("gas_gather", "D1", lambda g: gas.messages(g, k := _GainKernel(g.num_edges, 0.0), gas.initial(g, k)).select("src", "dst", (F.round("message", 12) + F.lit(0.0)).alias("message")), _strength + "select d.src, d.dst, round(gain, 12) + 0::double message from d join gains on gains.src = d.src and gains.dst = d.dst")
 _add("gas_sum", "D1", _sums, _sum_sql)
 _add("gas_apply", "D1", lambda g: gas.superstep(g, *_kernel(g)).select("id", F.round("value", 9).alias("rank")), f"select id, round((1 - 0.15::double) * folded + 0.15::double / n, 9) rank from ({_sum_sql.replace('round(coalesce(sum(1.0::double / od.degree), 0), 9)', 'coalesce(sum(1.0::double / od.degree), 0)')}), g")
-_add("gas_ordered_fold", "D3", _fold_moves, _strength + _best.format(t="0.0") + "select id, parent, round(gain, 12) gain from moves")
+_add("gas_ordered_fold", "D3", _fold_moves, _strength + _best.format(t="0.0") + "select id, parent, round(gain, 12) + 0::double gain from moves")
 
 
 # --- PageRank ------------------------------------------------------------------------
@@ -155,8 +155,8 @@ _add("pagerank_10_dangling", "D3", lambda g: pr.pagerank(g, 10).select("id", F.r
 ORACLE_SQL["pagerank_10_dangling"] = _ranks("D3", 10) + "select id, round(r, 6) rank from pr where it = 10"
 _add("pagerank_5_kernel", "D1", lambda g: gas.run(g, pr.PageRankKernel(g.num_vertices), 5).select("id", F.round("rank", 6).alias("rank")))
 ORACLE_SQL["pagerank_5_kernel"] = ORACLE_SQL["pagerank_5"]
-_add("pagerank_5_f32", "D1", lambda g: pr.pagerank(g, 5, "f32").select("id", F.round(F.col("rank").cast("double"), 5).alias("rank")))
-ORACLE_SQL["pagerank_5_f32"] = _ranks("D1", 5) + "select id, round(r, 5) rank from pr where it = 5"
+_add("pagerank_5_f32", "D1", lambda g: pr.pagerank(g, 5, "f32").select("id", F.round(F.col("rank").cast("double"), 3).alias("rank")))
+ORACLE_SQL["pagerank_5_f32"] = _ranks("D1", 5) + "select id, round(r, 3) rank from pr where it = 5"
 _add("pagerank_50", "D1", lambda g: pr.pagerank(g, 50).select("id", F.round("rank", 6).alias("rank")))
 ORACLE_SQL["pagerank_50"] = _ranks("D1", 50) + "select id, round(r, 6) rank from pr where it = 50"
 _add("pagerank_strings", "D1", lambda g: pr.as_text(pr.pagerank(g, 5)))
@@ -180,8 +180,8 @@ def _level1(g: Graph, t: float) -> tuple[cl.Level, DataFrame]:
 for _g in ("D2", "D2m", "D3"):
     _n = _g.lower()
     _add(f"modularity_strength_{_n}", _g, lambda g: cl.strengths(cl.first_level(g)).select("id", F.round("q", 12).alias("q")), _strength + "select id, round(q, 12) q from q")
-    _add(f"modularity_gain_{_n}", _g, lambda g: cl.gains(cl.first_level(g)).select("src", "dst", F.round("gain", 12).alias("gain")), _strength + "select src, dst, round(gain, 12) gain from gains")
-    _add(f"best_move_{_n}", _g, lambda g: cl.best_moves(cl.first_level(g), 0.0).select("id", "parent", F.round("gain", 12).alias("gain")), _strength + _best.format(t="0.0") + "select id, parent, round(gain, 12) gain from moves")
+    _add(f"modularity_gain_{_n}", _g, lambda g: cl.gains(cl.first_level(g)).select("src", "dst", (F.round("gain", 12) + F.lit(0.0)).alias("gain")), _strength + "select src, dst, round(gain, 12) + 0::double gain from gains")
+    _add(f"best_move_{_n}", _g, lambda g: cl.best_moves(cl.first_level(g), 0.0).select("id", "parent", (F.round("gain", 12) + F.lit(0.0)).alias("gain")), _strength + _best.format(t="0.0") + "select id, parent, round(gain, 12) + 0::double gain from moves")
     _add(f"changed_flag_{_n}", _g, lambda g: cl.gains(cl.first_level(g)).agg(F.coalesce(F.bool_or(F.col("gain") > 3e-5), F.lit(False)).alias("changed")), _strength + "select coalesce(bool_or(gain > 3e-5), false) changed from gains")
     _add(f"clustering_level1_{_n}", _g, lambda g: cl.clustering(g, g.num_vertices, 0.0))
     ORACLE_SQL[f"clustering_level1_{_n}"] = _clusters(_g, "0.0", "select id, cluster from labels")
