@@ -196,9 +196,13 @@ def _entries(documents: DataFrame, counts: Broadcast, total: int, config: Jaccar
     return common.pick(documents, "text").mapInArrow(run, schema)
 
 
-def _sets(documents: DataFrame, wanted: DataFrame, config: JaccardConfig) -> DataFrame:
-    """``cls, shingles``: one row of each class in ``wanted`` (doc_key), and a few of others."""
-    shipped = bloom.build(wanted.select("doc_key"), wanted.count())
+def _sets(documents: DataFrame, classes: DataFrame, needed: DataFrame, config: JaccardConfig) -> DataFrame:
+    """``cls, shingles``: one row of each class in ``needed`` (cls), and perhaps a few others.
+
+    They are made from the texts where they are used, which costs less than to keep them.
+    """
+    wanted = common.store(classes.join(needed.distinct(), "cls").select("doc_key"), "wanted")
+    shipped = bloom.build(wanted, wanted.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = bloom.Bloom(shipped.value)
@@ -211,12 +215,9 @@ def _sets(documents: DataFrame, wanted: DataFrame, config: JaccardConfig) -> Dat
                     cls, _ = _fingerprints(sets)
                     yield pa.record_batch([pa.array(cls.view(np.int64)), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["cls", "shingles"])
 
-    raw = common.store(_texts(documents).select("doc_key", "text").mapInArrow(run, "cls long, shingles array<long>"), "sets")
-    twice = common.store(raw.groupBy("cls").agg(F.count("*").alias("rows")).where("rows > 1").select("cls"), "twice")
-    if twice.isEmpty():  # the usual case: no document stands in several rows
-        return raw
-    once = raw.join(twice, "cls", "left_anti")
-    return common.store(once.unionByName(raw.join(twice, "cls").groupBy("cls").agg(F.first("shingles").alias("shingles"))), "sets")
+    found = _texts(documents).select("doc_key", "text").mapInArrow(run, "cls long, shingles array<long>")
+    # a document may stand in several rows
+    return found.groupBy("cls").agg(F.first("shingles").alias("shingles"))
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame, config: JaccardConfig) -> DataFrame:
@@ -229,10 +230,9 @@ def _plausible(pairs: DataFrame, classes: DataFrame, config: JaccardConfig) -> D
     return met.where(near & (config.den * F.least("n_a", "n_b") >= config.num * F.greatest("n_a", "n_b"))).select(*pairs.columns)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, config: JaccardConfig, few: bool = False) -> DataFrame:
-    """The pairs (a, b) of classes that are similar; ``few``: they need only some of the sets."""
-    if few:
-        sets = sets.where(bloom.test(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())("cls"))
+def _verify(pairs: DataFrame, documents: DataFrame, classes: DataFrame, config: JaccardConfig) -> DataFrame:
+    """The pairs (a, b) of classes that are similar."""
+    sets = _sets(documents, classes, pairs.select(F.explode(F.array("a", "b")).alias("cls")), config)
     side = lambda c: sets.select(F.col("cls").alias(c), F.col("shingles").alias(f"of_{c}"))
     met = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
     both = F.size(F.array_intersect("of_a", "of_b"))
@@ -344,17 +344,13 @@ def _components(documents: DataFrame, config: JaccardConfig) -> DataFrame:
     ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
     best = ends.groupBy("a").agg(F.max(F.struct("shared", "b"))["b"].alias("b"))
     best = common.store(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "best")
-    # members of clusters are compared in 4 even if no pair of theirs with a hub is plausible
-    involved = ends.select(F.col("a").alias("cls")).unionByName(heavy.select("cls")).distinct()
-    wanted = common.store(classes.join(involved, "cls").select("doc_key"), "wanted")
-    sets = _sets(documents, wanted, config)
     # everyone's best candidate first; then, of all others, only pairs that are still apart
-    links = common.store(_verify(best, sets, config), "links")
+    links = common.store(_verify(best, documents, classes, config), "links")
     found = _merge(None, links)
     mark = lambda c: found.select(F.col("id").alias(c), F.col("component_id").alias(f"in_{c}"))
     apart = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(mark("a"), "a", "left").join(mark("b"), "b", "left")
     apart = common.store(apart.where(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).select("a", "b"), "apart")
-    links = common.store(_verify(apart, sets, config, few=True), "links")
+    links = common.store(_verify(apart, documents, classes, config), "links")
     found = _merge(found, links)
     # members of heavy clusters that their hub didn't bring together
     label = lambda c, out: found.select(F.col("id").alias(c), F.col("component_id").alias(out))
@@ -363,7 +359,7 @@ def _components(documents: DataFrame, config: JaccardConfig) -> DataFrame:
     odd = placed.where("left").select("hub").distinct()
     members = common.store(placed.join(odd, "hub").select("hub", "cls", "n", "left"), "members")
     if not members.isEmpty():
-        some = sets.where(bloom.test(members.select("cls").distinct())("cls"))
+        some = _sets(documents, classes, members.select("cls"), config)
         found = _merge(found, common.store(_clusters(members, some, config), "links"))
     # a component's number is the smallest id of its classes
     rooted = classes.join(found.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("component_id", "cls"))
