@@ -34,7 +34,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -190,8 +189,11 @@ def repeated_spans(documents: DataFrame, config: SubstringConfig = SubstringConf
     # text that repeats itself may hold a window twice in one node
     alone = nodes.groupBy("kmer").agg(F.count("*").alias("kinds"), F.max("n").alias("most")).where("kinds = 1 and most = 1").select("kmer")
     both = mixed.unionByName(alone)
+    both = common.store(both, "mixed")
+    might = bloom.test(both)
     seen = nodes.join(both, "kmer").select("kmer", "node", "n")
-    met = found.select("kmer", "node", "doc_id", "doc_key", "first", "hashes").join(seen, ["kmer", "node"])
+    # most runs lie inside passages, under k-mers with one node: their hashes needn't move
+    met = found.select("kmer", "node", "doc_id", "doc_key", "first", "hashes").where(might("kmer")).join(seen, ["kmer", "node"])
     # of a node met often, one occurrence stands for all
     many = met.where("n > 1").groupBy("kmer", "node").agg(F.first("hashes").alias("hashes"), F.min("n").alias("n"))
     many = many.select("kmer", "n", "hashes", *[F.lit(None).cast("long").alias(c) for c in ("doc_id", "doc_key", "first")])
@@ -226,15 +228,11 @@ def _cut(column: pa.Array, spans: pa.Array) -> tuple[np.ndarray, np.ndarray, lis
 
 def _with_spans(documents: DataFrame, config: SubstringConfig) -> DataFrame:
     """``row`` (all columns as one struct), ``text`` and ``spans`` (null: none) of every row."""
-    spans = repeated_spans(documents, config).distinct()
-    spans = spans.groupBy("doc_id", "doc_key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))  # bounded by a document
-    spans = common.store(spans, "spans")
-    shipped = bloom.build(spans.select("doc_key"), spans.count())
-
-    @F.pandas_udf("boolean")
-    def might(keys: pd.Series) -> pd.Series:
-        return pd.Series(bloom.Bloom(shipped.value).might_hold(keys.to_numpy(np.int64)))
-
+    with common.workspace(documents.sparkSession) as keep:
+        spans = repeated_spans(documents, config).distinct()
+        # bounded by a document
+        spans = keep(spans.groupBy("doc_id", "doc_key").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "spans")
+    might = bloom.test(spans.select("doc_key"))
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
     rows = rows.withColumn("text", F.col("row.text")).withColumn("doc_id", F.col("row.doc_id"))
     rows = rows.withColumn("doc_key", F.xxhash64("doc_id", "text")).withColumn("maybe", might("doc_key"))
