@@ -116,7 +116,7 @@ _TYPES = {"string": pa.string(), "long": pa.int64()}
 
 def _header(piece: bytes) -> tuple[int, int, list[str | None]]:
     """Where the payload begins, its claimed length and the header values; (-1, -1, nulls) without a header block."""
-    end = piece.find(BREAK.encode(), 0, 1 << 16)
+    end = piece.find(BREAK.encode())
     values: dict[bytes, bytes] = {}
     for line in piece[: max(end, 0)].split(b"\r\n"):
         key, _, value = line.partition(b":")

@@ -510,3 +510,13 @@ def test_archives(spark, docs):
     empty = common.new_path(spark, "test")
     warc.write(pages.limit(0), empty)
     assert warc.read(spark, empty).count() == 0
+
+
+def test_archives_with_long_headers(spark):
+    urls = ["http://a/", "http://b/" + "y" * 100_000, "http://c/", "http://d/" + "%41" * 30_000, "http://e/"]
+    pages = spark.createDataFrame([(k, url, f"page {k}") for k, url in enumerate(urls)], "page_id long, url string, html string").coalesce(1)
+    path = common.new_path(spark, "test")
+    warc.write(pages, path)
+    got = {r.record_id: r for r in warc.read(spark, path).collect()}
+    assert [got[f"<urn:spindrift:page:{k}>"].target_uri for k in range(5)] == urls
+    assert all(r.intact and r.payload_bytes == 6 for r in got.values())
