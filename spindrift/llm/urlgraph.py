@@ -6,8 +6,9 @@ with a ``kind``: trust starts at hosts that rules allow and follows links; distr
 starts at hosts that rules block and follows links backwards (who links to the
 blocked is distrusted).  A host is a seed if one verdict of rules holds for at least
 ``seed_share`` of its pages, with its number of such pages as weight.  Mass that leaves hosts without a link on returns
-to the seeds.  A host whose distrust reaches ``ratio`` times its trust, and is no
-rounding dust, is blocked; every other host is allowed.
+to the seeds.  A host whose distrust is above 0 and reaches ``ratio`` times its trust is
+blocked; every other host is allowed.  Nothing is subtracted on the way, so distrust is
+exactly 0 where no blocked seed is reached, and no bound depends on the table's size.
 
 Everything is a DataFrame: links are pulled out and summed before any shuffle, joins
 are on hosts, and the scores are written to the shared folder every few rounds.
@@ -52,7 +53,6 @@ class GraphConfig:
     rounds_a_write: int = 4
     ratio: float = 1.0
     seed_share: float = 0.5
-    dust: float = 1e-9
 
 
 def _lower(c: Column) -> Column:
@@ -122,7 +122,7 @@ def judge(pages: DataFrame, rules: list[Rule], config: GraphConfig = GraphConfig
     total = seeds.groupBy("kind").agg(F.sum("n").alias("total"))  # two rows at most
     seeds = common.store(seeds.join(F.broadcast(total), "kind").select("kind", "host", (F.col("n") / F.col("total")).alias("mass")), "seeds")
     scores = propagate(host_edges(common.pick(pages, "url", "html")), seeds, config)
-    judged = scores.withColumn("bad", (F.col("distrust") > config.dust) & (F.col("distrust") >= config.ratio * F.col("trust")))
+    judged = scores.withColumn("bad", (F.col("distrust") > 0) & (F.col("distrust") >= config.ratio * F.col("trust")))
     # pages of one host may be a third of all: its score goes to several places
     salt = F.pmod(F.xxhash64("page_id"), F.lit(16)).cast("int")
     spread = judged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))

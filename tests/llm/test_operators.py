@@ -327,6 +327,16 @@ def test_propagation_is_personalised_pagerank(spark):
         assert abs(got[n].trust - trust[n]) < 1e-9 and abs(got[n].distrust - distrust[n]) < 1e-9
 
 
+def test_verdicts_do_not_depend_on_the_table_s_size(spark):
+    link = lambda host: f'<a href="http://{host}/x">'
+    rows = [(0, "http://bad.net/", "")] + [(1 + k, f"http://s{k}.com/", link("bad.net")) for k in range(900)] + [(990, "http://far.com/", link("s0.com")), (991, "http://fine.com/", "")]
+    local = spark.createDataFrame(rows, "page_id long, url string, html string")
+    many = spark.range(1000, 2_001_000).select(F.col("id").alias("page_id"), F.lit("http://huge.net/").alias("url"), F.lit("").alias("html"))
+    for pages in (local, local.unionByName(many)):
+        judged = urlgraph.judge(pages, [urlgraph.Rule("block", "net/")]).where("page_id < 1000").collect()
+        assert {r.page_id for r in judged if r.verdict == "allow"} == {991}
+
+
 # --- vectors --------------------------------------------------------------------------
 def test_vectors(spark):
     rng = np.random.default_rng(6)
