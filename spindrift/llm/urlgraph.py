@@ -10,6 +10,11 @@ to the seeds.  A host whose distrust is above 0 and reaches ``ratio`` times its
 blocked; every other host is allowed.  Nothing is subtracted on the way, so distrust is
 exactly 0 where no blocked seed is reached, and no bound depends on the table's size.
 
+Rounds go on until every host that mass can reach has some, and no host's mass changes by
+more than ``tolerance`` of itself over ``rounds_a_write`` rounds, so how far a host lies from
+a seed is no bound.  Mass too small for a double, some thousands of links off, counts as
+``LEAST`` and not as none.
+
 Everything is a DataFrame: links are pulled out and summed before any shuffle, joins
 are on hosts, and the scores are written to the shared folder every few rounds.
 
@@ -28,6 +33,7 @@ from pyspark.sql import functions as F
 from spindrift.llm import common
 
 ALLOW, BLOCK = "allow", "block"
+LEAST = 1e-300
 
 
 @dataclass(frozen=True)
@@ -51,6 +57,7 @@ class GraphConfig:
     damping: float = 0.85
     rounds: int = 12
     rounds_a_write: int = 4
+    tolerance: float = 1e-6
     ratio: float = 1.0
     seed_share: float = 0.5
 
@@ -87,8 +94,17 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return found.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, config: GraphConfig) -> DataFrame:
-    """``host, trust, distrust``; ``seeds`` has ``kind`` (allow or block), ``host``, ``mass`` (sums to 1 a kind)."""
+def _settled(old: DataFrame, new: DataFrame, tolerance: float) -> bool:
+    """No mass of ``new`` is of a new host or further from its ``old`` one than ``tolerance`` of itself."""
+    met = new.join(old.withColumnRenamed("mass", "was"), ["kind", "host"], "left")
+    return met.where(F.col("was").isNull() | (F.abs(F.col("mass") - F.col("was")) > tolerance * F.col("mass"))).isEmpty()
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, config: GraphConfig, tolerance: float | None = None) -> DataFrame:
+    """``host, trust, distrust``; ``seeds`` has ``kind`` (allow or block), ``host``, ``mass`` (sums to 1 a kind).
+
+    ``config.rounds`` rounds without a ``tolerance``, else at least as many and on until all mass is settled.
+    """
     arcs = edges.select(F.lit(ALLOW).alias("kind"), "src", "dst", "weight").unionByName(
         edges.select(F.lit(BLOCK).alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     )
@@ -97,15 +113,21 @@ def propagate(edges: DataFrame, seeds: DataFrame, config: GraphConfig) -> DataFr
     if arcs.isEmpty():  # nothing to follow: the seeds keep all
         scores = seeds
     else:
-        scores = seeds
-        for k in range(config.rounds):
+        scores = written = seeds
+        k, settled = 0, False
+        while k < config.rounds or (tolerance is not None and not settled):
             sent = scores.join(arcs, ["kind", "host"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("mass") * F.col("share")).alias("got"))
             lost = sent.groupBy("kind").agg(F.sum("got").alias("kept"))  # two rows at most
             both = seeds.withColumnRenamed("mass", "seed").join(sent, ["kind", "host"], "full").join(F.broadcast(lost), "kind", "left")
             rest = 1 - config.damping * F.coalesce("kept", F.lit(0.0))
-            scores = both.select("kind", "host", (config.damping * F.coalesce("got", F.lit(0.0)) + rest * F.coalesce("seed", F.lit(0.0))).alias("mass"))
-            if (k + 1) % config.rounds_a_write == 0 or k + 1 == config.rounds:
+            mass = config.damping * F.coalesce("got", F.lit(0.0)) + rest * F.coalesce("seed", F.lit(0.0))
+            scores = both.select("kind", "host", F.greatest(mass, F.lit(LEAST)).alias("mass"))
+            k += 1
+            if k % config.rounds_a_write == 0 or k == config.rounds:
                 scores = common.store(scores, "mass")
+                settled = tolerance is not None and k >= config.rounds and _settled(written, scores, tolerance)
+                common.drop_stored(written) if written is not seeds else None
+                written = scores
     of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("mass")).otherwise(0.0))
     return scores.groupBy("host").agg(of(ALLOW).alias("trust"), of(BLOCK).alias("distrust"))
 
@@ -121,7 +143,7 @@ def judge(pages: DataFrame, rules: list[Rule], config: GraphConfig = GraphConfig
     seeds = sides.where((F.col("n") > 0) & (F.col("n") >= config.seed_share * F.col("pages")))
     total = seeds.groupBy("kind").agg(F.sum("n").alias("total"))  # two rows at most
     seeds = common.store(seeds.join(F.broadcast(total), "kind").select("kind", "host", (F.col("n") / F.col("total")).alias("mass")), "seeds")
-    scores = propagate(host_edges(common.pick(pages, "url", "html")), seeds, config)
+    scores = propagate(host_edges(common.pick(pages, "url", "html")), seeds, config, config.tolerance)
     judged = scores.withColumn("bad", (F.col("distrust") > 0) & (F.col("distrust") >= config.ratio * F.col("trust")))
     # pages of one host may be a third of all: its score goes to several places
     salt = F.pmod(F.xxhash64("page_id"), F.lit(16)).cast("int")

@@ -337,6 +337,16 @@ def test_verdicts_do_not_depend_on_the_table_s_size(spark):
         assert {r.page_id for r in judged if r.verdict == "allow"} == {991}
 
 
+def test_distrust_reaches_every_distance(spark):
+    link = lambda k: f'<a href="http://h{k}.com/x">'
+    rows = [(0, "http://bad.net/", ""), (1, "http://h1.com/", '<a href="http://bad.net/">')] + [(k, f"http://h{k}.com/", link(k - 1)) for k in range(2, 18)] + [(99, "http://fine.com/", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in urlgraph.judge(pages, [urlgraph.Rule("block", "net/")], urlgraph.GraphConfig(damping=0.5)).collect()}
+    assert {k for k, r in got.items() if r.verdict == "allow"} == {99}
+    total = sum(0.5**k for k in range(18))  # of what a hop has, half walks on and half starts again
+    assert all(abs(got[k].distrust - 0.5**k / total) < 1e-5 * 0.5**k for k in range(18))
+
+
 # --- vectors --------------------------------------------------------------------------
 def test_vectors(spark):
     rng = np.random.default_rng(6)
