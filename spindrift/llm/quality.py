@@ -80,7 +80,7 @@ def encode(column: pa.Array, passage_bytes: int) -> tuple[np.ndarray, np.ndarray
             place = np.arange(len(part)) - np.repeat(at[lo:hi] - base, size[lo:hi])
             passage = first[doc] + place // passage_bytes
             pair = part * 16
-            pair[1:] += part[:-1]
+            pair[1:] += np.where(place[1:] > 0, part[:-1], 0)  # a document's first byte has none before it
             n = first[hi] - first[lo]
             seen = np.bincount((passage - first[lo]) * 256 + pair, minlength=n * 256).reshape(n, 256)
             out[first[lo] : first[hi], :256] = seen

@@ -197,6 +197,13 @@ def test_quality_on_held_out(spark):
     assert abs(model.bags(x, count)["a"].sum() - 1) < 1e-6
 
 
+def test_features_do_not_depend_on_neighbours():
+    texts = ["zz", "a", "a", None, "", "!", "a", "b c " * 200, "a"]
+    x, count = quality.encode(pa.array(texts, pa.string()), 256)
+    alone = [quality.encode(pa.array([t], pa.string()), 256) for t in texts]
+    assert (count == np.concatenate([n for _, n in alone])).all() and (x == np.concatenate([f for f, _ in alone])).all()
+
+
 def test_gradients():
     c = quality.QualityConfig(hidden=3, gate=2)
     rng = np.random.default_rng(0)
