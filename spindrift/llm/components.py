@@ -2,7 +2,7 @@
 
 Every round joins each node with the smallest of its neighbours (a partial sum, so a
 node with very many links is no burden to one task) and writes the shrunken links to
-the shared folder.  About log(n) rounds.
+the shared folder.  About log(n) rounds, and always as many as it takes until one changes nothing.
 """
 
 from __future__ import annotations
@@ -22,12 +22,18 @@ def _star(arcs: DataFrame, larger: bool) -> DataFrame:
     return met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """``id, component_id`` of every number in ``links`` (a, b): the smallest number reachable."""
+def components(links: DataFrame, most_rounds: int | None = None) -> DataFrame:
+    """``id, component_id`` of every number in ``links`` (a, b): the smallest number reachable.
+
+    With ``most_rounds``, an error if labels are not stable by then.
+    """
     down = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     down = common.store(down, "links")
-    state = None
-    for _ in range(most_rounds):
+    state, rounds = None, 0
+    while True:
+        if rounds == most_rounds:
+            raise RuntimeError(f"components are not stable after {rounds} rounds")
+        rounds += 1
         both = down.unionByName(down.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both, True).where("u <> v").distinct()
         small = _star(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), False)

@@ -97,6 +97,12 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_unstable_components_are_an_error(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components(chain, most_rounds=1)
+
+
 # --- packing --------------------------------------------------------------------------
 def test_fast_ids_are_the_library_s():
     rng = random.Random(4)
