@@ -35,7 +35,11 @@ def op2_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op3_viterbi_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many tokens every document has under the pieces of a public vocabulary."""
+    """How many tokens every document has under the pieces of a public vocabulary, read as unigram.
+
+    The file is a BPE model: its scores are merge ranks, not log-probabilities. Counts are those of the
+    ``tokenizers`` Unigram model of these pieces and not of sentencepiece with the file (README).
+    """
     import public_tokenizers
 
     from spindrift.llm import viterbi
