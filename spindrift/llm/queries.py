@@ -140,3 +140,20 @@ def op8_adaptive_prefix_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spindrift.llm import jaccard
 
     return jaccard.similar_components(common.table(spark, sf_dir, "documents"), jaccard.JaccardConfig())
+
+
+ORACLE_SQL["op9_warc_boundary_chain"] = """
+with p as (
+    select page_id, coalesce(html, '') as html from pages
+), d as (
+    select page_id, strlen(html)::bigint as payload_bytes, sha256(html) as payload_digest from p
+), k as (
+    select *, min(page_id) over (partition by payload_digest) as keeper from d
+), r as (
+    select *, coalesce(payload_bytes >= 100 and page_id > keeper, false) as revisit from k
+)
+select page_id, payload_bytes, payload_digest,
+    case when revisit then 'revisit' else 'response' end as record_type,
+    case when revisit then keeper end as refers_to, true as intact
+from r
+"""

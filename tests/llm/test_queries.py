@@ -40,6 +40,11 @@ def test_archive_digests(spark, sf_dir):
     assert {r.page_id: r.payload_digest for r in QUERIES["op9_warc_boundary_chain"](spark, sf_dir).collect()} == want
 
 
+def test_archives_are_the_sql_s(spark, sf_dir):
+    sql = contract.oracle_sql()["op9_warc_boundary_chain"]
+    assert sorted(map(tuple, QUERIES["op9_warc_boundary_chain"](spark, sf_dir).collect())) == sorted(rows(sf_dir, sql))
+
+
 def test_pipeline(spark, sf_dir):
     docs = columns = None
     for name, stage in corpus_pipeline.STAGES:
