@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.operators.graph import Graph
-from spindrift.session import cut
+from spindrift.session import cut, drop
 
 
 class Kernel(ABC):
@@ -98,9 +98,11 @@ def initial(graph: Graph, kernel: Kernel) -> DataFrame:
 
 def run(graph: Graph, kernel: Kernel, num_iters: int, cut_every: int = 8) -> DataFrame:
     """The kernel's result after ``num_iters`` supersteps; 0 gives the first state."""
-    state = initial(graph, kernel)
+    state, last = initial(graph, kernel), None
     for k in range(num_iters):
         state = superstep(graph, kernel, state)
         if (k + 1) % cut_every == 0 and k + 1 < num_iters:
             state = cut(state)
+            drop(last)
+            last = state
     return kernel.result(state)

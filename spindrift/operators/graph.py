@@ -19,7 +19,7 @@ class Graph:
 
     def __init__(self, edges: DataFrame, num_vertices: int | None = None):
         self.edges = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
-        self._given = num_vertices
+        self.given = num_vertices
 
     @classmethod
     def from_adjacency(cls, adjacency: DataFrame) -> Graph:
@@ -38,11 +38,11 @@ class Graph:
     @cached_property
     def _counts(self) -> tuple[int, int]:
         r = self.edges.agg(F.max(F.greatest("src", "dst")), F.count("*"), F.min(F.least("src", "dst"))).first()
-        if r[0] is None and self._given is None:
+        if r[0] is None and self.given is None:
             raise ValueError("a graph needs at least one edge")
         if r[2] is not None and r[2] < 0:
             raise ValueError("vertex ids can't be negative")
-        return self._given or r[0] + 1, r[1]
+        return self.given or r[0] + 1, r[1]
 
     @property
     def num_vertices(self) -> int:
@@ -60,7 +60,7 @@ class Graph:
         return self.edges.agg((F.max(F.greatest("src", "dst")) + 1).alias("num_vertices"), F.count("*").alias("num_edges"))
 
     def reverse(self) -> Graph:
-        return Graph(self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), self._given)
+        return Graph(self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), self.given)
 
     def sorted_edges(self) -> DataFrame:
         return self.edges.orderBy("src", "dst")

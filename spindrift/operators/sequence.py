@@ -1,7 +1,8 @@
 """Operations over one total order of all rows, without a single-task window.
 
 Rows are dealt into ranges of the order; each range is ranked by itself, and one summary
-row a range carries what the ranges before (or behind) it add.
+row a range carries what the ranges before (or behind) it add.  Results are written to the shared
+folder, and the dealt rows are given up again.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindrift.session import cut
+
 _PART = "__part"
 
 
@@ -17,6 +20,13 @@ def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
     return df.repartitionByRange(*order).withColumn(_PART, F.spark_partition_id()).persist()
 
 
+def _kept(out: DataFrame, rows: DataFrame) -> DataFrame:
+    try:
+        return cut(out)
+    finally:
+        rows.unpersist()
+
+
 def with_running(df: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
     """Adds the sum of ``value`` over all rows before this one (0 for the first)."""
     rows = _ranged(df, order)
@@ -26,7 +36,7 @@ def with_running(df: DataFrame, order: list[str], value: Column, name: str) -> D
     mine = Window.partitionBy(_PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     out = rows.withColumn(name, F.coalesce(F.sum(value).over(mine), F.lit(0)))
     out = out.join(F.broadcast(base), _PART)
-    return out.withColumn(name, F.col(name) + F.col("__base")).drop(_PART, "__base")
+    return _kept(out.withColumn(name, F.col(name) + F.col("__base")).drop(_PART, "__base"), rows)
 
 
 def with_number(df: DataFrame, order: list[str], name: str) -> DataFrame:
@@ -42,4 +52,4 @@ def with_next(df: DataFrame, order: list[str], value: str, name: str) -> DataFra
     mine = Window.partitionBy(_PART).orderBy(*order)
     out = rows.withColumn(name, F.lead(value).over(mine)).withColumn("__last", F.row_number().over(Window.partitionBy(_PART).orderBy(*[F.col(c).desc() for c in order])) == 1)
     out = out.join(F.broadcast(after), _PART)
-    return out.withColumn(name, F.when(F.col("__last"), F.col("__then")).otherwise(F.col(name))).drop(_PART, "__last", "__then")
+    return _kept(out.withColumn(name, F.when(F.col("__last"), F.col("__then")).otherwise(F.col(name))).drop(_PART, "__last", "__then"), rows)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from spindrift.operators.graph import Graph
 from spindrift.operators.sequence import with_number
-from spindrift.session import cut
+from spindrift.session import cut, drop
 
 
 @dataclass
@@ -61,15 +61,25 @@ def best_moves(level: Level, threshold: float) -> DataFrame:
 
 
 def roots(parents: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """``id, root`` by pointer jumping; a parent's id is never larger than its child's."""
-    state = cut(parents.select("id", F.col("parent").alias("root")))
+    """``id, root`` by pointer jumping over the vertices that have a parent other than themselves.
+
+    A parent's id is never larger than its child's, so paths end.
+    """
+    state = cut(parents.where("parent <> id").select("id", F.col("parent").alias("root")), going=F.count(F.lit(1)))
+    going = state.watched["going"]
     for _ in range(most_rounds):
-        up = state.select(F.col("id").alias("root"), F.col("root").alias("top"))
-        moved = cut(state.join(up, "root").select("id", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("went")))
-        state = moved.select("id", "root")
-        if moved.where("went").isEmpty():
+        if not going:
             break
-    return state
+        up = state.select(F.col("id").alias("root"), F.col("root").alias("top"))
+        moved = state.join(up, "root", "left").select("id", F.coalesce("top", "root").alias("root"), F.col("top").isNotNull().alias("went"))
+        new = cut(moved, going=F.count_if("went"))
+        drop(state)
+        state, going = new.drop("went"), new.watched["going"]
+        state._stored_at = new._stored_at  # noqa: SLF001
+    else:
+        if going:
+            raise RuntimeError(f"paths are not at their ends after {most_rounds} rounds")
+    return state.unionByName(parents.where("parent = id").select("id", F.col("parent").alias("root")))
 
 
 def packed(labels: DataFrame) -> DataFrame:
@@ -101,22 +111,30 @@ def clustering(graph: Graph, num_clusters_hint: int = 100, threshold: float = 3e
     Where no gain exceeds the threshold at the first level, every label is 0
     (``on_no_gain="identity"``: its own id).
     """
-    level = first_level(graph)
-    moves = cut(best_moves(level, threshold))
-    if moves.where(F.col("gain") > threshold).isEmpty():
+    level = _kept(first_level(graph))
+    moves = cut(best_moves(level, threshold), gaining=F.count_if(F.col("gain") > threshold))
+    if not moves.watched["gaining"]:
         zero = graph.vertices().withColumn("cluster", F.lit(0).cast("long"))
         return zero if on_no_gain == "zero" else graph.vertices().withColumn("cluster", F.col("id"))
-    mapping = cut(packed(roots(moves)))  # vertices of this level -> clusters
-    labels = mapping
+    mapping = cut(packed(roots(moves)), most=F.max("cluster"))  # vertices of this level -> clusters
+    labels, clusters = mapping, mapping.watched["most"] + 1
     for _ in range(max_levels - 1):
-        if labels.agg(F.max("cluster")).first()[0] + 1 <= num_clusters_hint:
+        if clusters <= num_clusters_hint:
             break
-        level, _ = compact(level, mapping)
-        level = Level(cut(level.vertices), cut(level.arcs), level.total)
-        moves = cut(best_moves(level, threshold))
-        if moves.where("parent <> id").isEmpty():
+        finer, (level, _) = level, compact(level, mapping)
+        level = _kept(level)
+        drop(finer.vertices, finer.arcs, moves, mapping if mapping is not labels else None)
+        moves = cut(best_moves(level, threshold), moving=F.count_if(F.col("parent") != F.col("id")))
+        if not moves.watched["moving"]:
             break
-        mapping = cut(packed(roots(moves)))
+        mapping = cut(packed(roots(moves)), most=F.max("cluster"))
         into = mapping.select(F.col("id").alias("cluster"), F.col("cluster").alias("into"))
-        labels = cut(labels.join(into, "cluster").select("id", F.col("into").alias("cluster")))
+        coarser = cut(labels.join(into, "cluster").select("id", F.col("into").alias("cluster")))
+        drop(labels)
+        labels, clusters = coarser, mapping.watched["most"] + 1
+    drop(level.vertices, level.arcs, moves)
     return labels
+
+
+def _kept(level: Level) -> Level:
+    return Level(cut(level.vertices), cut(level.arcs), level.total)

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindrift import api
 from spindrift.functions.delta import delta_decode, delta_encode
 from spindrift.operators import gas
 from spindrift.operators.graph import Graph
 from spindrift.plans import clustering as cl
 from spindrift.plans import pagerank as pr
 from spindrift.plans.derived import SQL, graph
+from spindrift.session import shared_dir
+from spindrift.sources import edge_list
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -146,6 +150,17 @@ def _ranks(of: str, k: int) -> str:
     )
 
 
+def _singles(of: str, k: int) -> str:
+    """Ranks as 32-bit floats, added in ascending order of src, iteration by iteration."""
+    sql = _with(of) + ", r0 as (select id, 1.0::real r from v) "
+    for i in range(k):
+        sql += (
+            f", i{i} as (select d.dst id, list((r{i}.r / degree::real)::real order by d.src) l from d join od on od.id = d.src join r{i} on r{i}.id = d.src group by d.dst), "
+            f"r{i + 1} as (select v.id, ((1 - 0.15::double) * coalesce(list_reduce(list_prepend(0::real, l), lambda a, x: (a + x)::real), 0::real)::double + 0.15::double / n)::real r from v left join i{i} using (id), g) "
+        )
+    return sql + f"select id, r::double rank from r{k}"
+
+
 for _k in (1, 5, 10):
     QUERIES[f"pagerank_{_k}"] = lambda spark, sf_dir, k=_k: pr.pagerank(graph(spark, sf_dir, "D1"), k).select("id", F.round("rank", 6).alias("rank"))
     ORACLE_SQL[f"pagerank_{_k}"] = _ranks("D1", _k) + f"select id, round(r, 6) rank from pr where it = {_k}"
@@ -155,8 +170,8 @@ _add("pagerank_10_dangling", "D3", lambda g: pr.pagerank(g, 10).select("id", F.r
 ORACLE_SQL["pagerank_10_dangling"] = _ranks("D3", 10) + "select id, round(r, 6) rank from pr where it = 10"
 _add("pagerank_5_kernel", "D1", lambda g: gas.run(g, pr.PageRankKernel(g.num_vertices), 5).select("id", F.round("rank", 6).alias("rank")))
 ORACLE_SQL["pagerank_5_kernel"] = ORACLE_SQL["pagerank_5"]
-_add("pagerank_5_f32", "D1", lambda g: pr.pagerank(g, 5, "f32").select("id", F.round(F.col("rank").cast("double"), 3).alias("rank")))
-ORACLE_SQL["pagerank_5_f32"] = _ranks("D1", 5) + "select id, round(r, 3) rank from pr where it = 5"
+_add("pagerank_5_f32", "D1", lambda g: pr.pagerank(g, 5, "f32").select("id", F.col("rank").cast("double").alias("rank")))
+ORACLE_SQL["pagerank_5_f32"] = _singles("D1", 5)
 _add("pagerank_50", "D1", lambda g: pr.pagerank(g, 50).select("id", F.round("rank", 6).alias("rank")))
 ORACLE_SQL["pagerank_50"] = _ranks("D1", 50) + "select id, round(r, 6) rank from pr where it = 50"
 _add("pagerank_strings", "D1", lambda g: pr.as_text(pr.pagerank(g, 5)))
@@ -204,4 +219,57 @@ for _g in ("D2", "D3"):
     ORACLE_SQL[f"compact_adjacency_{_n}"] = _clusters(_g, "0.0", _both.format("a.cluster src, b.cluster dst", "<>"))
 _add("clustering_no_gain_zero", "D1", lambda g: cl.clustering(g, g.num_vertices, 3e-5))
 ORACLE_SQL["clustering_no_gain_zero"] = _clusters("D1", "3e-5", "select id, case when (select count(*) from best) = 0 then 0 else cluster end cluster from labels")
-_add("clustering_multilevel", "D3", lambda g: cl.clustering(g, 100, 0.0))
+
+
+def _levels(of: str, hint: int, t: str, levels: int) -> str:
+    """Labels after so many levels; a level without a move, or behind ``hint`` clusters, changes nothing."""
+    sql = _clusters(of, t, "")
+    sql += ", a1 as materialized (select src, dst, 1::bigint w from (select distinct src, dst from d)), v1 as materialized (select od.id, od.degree + id_.degree weight from od join id_ using (id)), m1 as materialized (select id, cluster from labels), l1 as (select id, cluster from labels) "
+    for k in range(2, levels + 1):
+        j = k - 1
+        sql += (
+            f", a{k} as materialized (select x.cluster src, y.cluster dst, sum(w)::bigint w from a{j} join m{j} x on x.id = a{j}.src join m{j} y on y.id = a{j}.dst where x.cluster <> y.cluster group by all), "
+            f"v{k} as materialized (select cluster id, sum(weight)::bigint weight from v{j} join m{j} using (id) group by cluster), "
+            f"q{k} as materialized (select id, weight / (2.0::double * m) q from v{k}, g), "
+            f"g{k} as (select src, dst, 2 * (w / (2.0::double * m) - x.q * y.q) gain from a{k} join q{k} x on x.id = src join q{k} y on y.id = dst, g), "
+            f"b{k} as (select dst, src from (select *, row_number() over (partition by dst order by gain desc, src) r from g{k} where gain > {t}) where r = 1), "
+            f"p{k} as materialized (select v{k}.id, coalesce(least(v{k}.id, b{k}.src), v{k}.id) parent from v{k} left join b{k} on b{k}.dst = v{k}.id), "
+            f"u{k}(id, root, it) as (select id, parent, 0 from p{k} union all select u{k}.id, p{k}.parent, u{k}.it + 1 from u{k} join p{k} on p{k}.id = u{k}.root where p{k}.parent <> u{k}.root), "
+            f"r{k} as (select id, min(root) root from u{k} group by id), "
+            f"m{k} as materialized (select id, case when (select max(cluster) + 1 from m{j}) <= {hint} then id else dense_rank() over (order by root) - 1 end cluster from r{k}), "
+            f"l{k} as materialized (select l{j}.id, m{k}.cluster from l{j} join m{k} on m{k}.id = l{j}.cluster) "
+        )
+    return sql + f"select id, case when (select count(*) from best) = 0 then 0 else cluster end cluster from l{levels}"
+
+
+for _levels_run in (2, 3, 20):
+    _name = "clustering_multilevel" if _levels_run == 20 else f"clustering_{_levels_run}_levels"
+    _add(_name, "D3", lambda g, k=_levels_run: cl.clustering(g, 100, 0.0, max_levels=k))
+    ORACLE_SQL[_name] = _levels("D3", 100, "0.0", _levels_run)
+
+
+# --- files in, values out -----------------------------------------------------------------
+def _path(g: Graph, name: str) -> str:
+    return f"{shared_dir(g.spark)}/spindrift/{name}-{uuid.uuid4().hex}"
+
+
+def _edge_file(g: Graph, between: str = " ") -> str:
+    path = _path(g, "edges")
+    g.edges.select(F.concat_ws(between, "src", "dst").alias("value")).write.text(path) if between != " " else edge_list.write_edges(g.edges, path)
+    return path
+
+
+def _written(g: Graph, values: DataFrame, name: str) -> DataFrame:
+    """The lines that the sink writes for ``values``, and how often each stands there."""
+    path = _path(g, "values")
+    edge_list.write_values(values, path, name)
+    return g.spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("times"))
+
+
+_add("edges_text_lines", "D2m", lambda g: edge_list.read_edges(g.spark, _edge_file(g)), "select src, dst from d")
+_add("edges_text_tokens", "D2m", lambda g: edge_list.read_edges(g.spark, _edge_file(g, "\n"), "token"), "select src, dst from d")
+_add("values_text_sink", "D2", lambda g: _written(g, g.out_degrees(), "degree"), "select degree::varchar line, count(*) times from od group by degree")
+_add("pagerank_file_default", "D1", lambda g: api.pagerank(_edge_file(g)).select("id", F.round("rank", 6).alias("rank")))
+ORACLE_SQL["pagerank_file_default"] = ORACLE_SQL["pagerank_50"]
+_add("clustering_file_default", "D3", lambda g: api.clustering(_edge_file(g)))
+ORACLE_SQL["clustering_file_default"] = _levels("D3", 100, "3e-5", 20)

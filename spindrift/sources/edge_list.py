@@ -8,7 +8,8 @@ integer that it begins with, or 0; an odd last token is dropped; negative ids ar
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Characters between tokens: carriage return, tab, line feed, NUL and space.
@@ -22,10 +23,10 @@ def read_edges(spark: SparkSession, path: str, mode: str = "line") -> DataFrame:
     try:
         edges = _lines(spark, path) if mode == "line" else _tokens(spark, path)
         empty = edges.isEmpty()
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e) or "NUMBER" in str(e) or "CAST_INVALID" in str(e) or "USER_RAISED" in str(e) or "negative" in str(e) or "not an edge" in str(e):
-            raise ValueError(f"{path} is no edge list: {str(e).splitlines()[0][:300]}") from e
-        raise
+    except PySparkException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "USER_RAISED_EXCEPTION"):
+            raise
+        raise ValueError(f"{path} is no edge list: {str(e).splitlines()[0][:300]}") from e
     if empty:
         raise ValueError(f"{path} holds no edge")
     return edges
@@ -41,14 +42,19 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _tokens(spark: SparkSession, path: str) -> DataFrame:
-    # pairing runs over line ends, so a file is one row here; use line mode for large files
-    text = spark.read.text(path, wholetext=True).select(F.split("value", BLANKS).alias("c"))
-    tokens = text.select(F.expr("filter(c, x -> x <> '')").alias("c"))
-    number = lambda x: F.coalesce(F.regexp_extract(x, "^[+-]?[0-9]{1,18}", 0).try_cast("long"), F.lit(0))
-    checked = lambda x: F.when(number(x) >= 0, number(x)).otherwise(F.raise_error(F.lit("negative id")).cast("long"))
-    places = F.expr("sequence(0, cast(size(c) as int) - 2, 2)")
-    pairs = tokens.where(F.size("c") >= 2).select("c", F.explode(places).alias("k"))
-    return pairs.select(checked(F.get("c", F.col("k"))).alias("src"), checked(F.get("c", F.col("k") + 1)).alias("dst"))
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = text.select("file", "block", "line", F.filter(F.split("value", BLANKS), lambda x: x != "").alias("c")).withColumn("n", F.size("c")).where("n > 0")
+    # a token's place in its file: the blocks before its own, the lines before it in the block, and its place in the line
+    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy("file", "block").agg(F.sum("n").alias("n"))
+    blocks = blocks.select("file", "block", F.coalesce(F.sum("n").over(before("file", "block")), F.lit(0)).alias("base"))
+    placed = lines.withColumn("first", F.coalesce(F.sum("n").over(before("file", "block", "line")), F.lit(0))).join(blocks, ["file", "block"])
+    tokens = placed.select("file", (F.col("base") + F.col("first")).alias("first"), F.posexplode("c").alias("k", "token")).withColumn("at", F.col("first") + F.col("k"))
+    number = F.coalesce(F.regexp_extract("token", "^[+-]?[0-9]{1,18}", 0).try_cast("long"), F.lit(0))
+    checked = F.when(number >= 0, number).otherwise(F.raise_error(F.lit("negative id")).cast("long"))
+    end = lambda odd: F.max(F.when(F.col("at") % 2 == odd, checked))
+    pairs = tokens.groupBy("file", F.floor(F.col("at") / 2).alias("pair")).agg(end(0).alias("src"), end(1).alias("dst"))
+    return pairs.where("dst is not null").select("src", "dst")
 
 
 def write_edges(edges: DataFrame, path: str) -> None:
