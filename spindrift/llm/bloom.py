@@ -10,12 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.llm import common
 from spindrift.llm.words import mix
 
 MOST_BITS = 1 << 27
@@ -54,7 +54,7 @@ def build(keys: DataFrame, count: int) -> Broadcast:
         for k in np.array_split(used, len(used) // 256 + 1):
             yield pa.record_batch([pa.array(k), pa.array([mine[512 * i : 512 * (i + 1)].tobytes() for i in k], pa.binary())], ["page", "bits"])
 
-    pages = keys.select(name).mapInArrow(run, "page long, bits binary")
+    pages = keys.select(name).mapInArrow(common.frugal(run), "page long, bits binary")
 
     def merge(rows):
         seen: dict[int, np.ndarray] = {}
@@ -69,17 +69,17 @@ def build(keys: DataFrame, count: int) -> Broadcast:
 
     # each page of bits meets its like in one task; what reaches the driver is the filter once
     full = bytearray(bits >> 3)
-    for r in pages.repartition("page").mapInArrow(merged, "page long, bits binary").toLocalIterator():
+    for r in pages.repartition("page").mapInArrow(common.frugal(merged), "page long, bits binary").toLocalIterator():
         full[512 * r.page : 512 * (r.page + 1)] = r.bits
-    return keys.sparkSession.sparkContext.broadcast(bytes(full))
+    return common.ship(keys.sparkSession, bytes(full))
 
 
 def test(keys: DataFrame, count: int | None = None) -> Callable[[Column | str], Column]:
     """A function of a column (long): false only if the value is surely not in the only column of ``keys``."""
     shipped = build(keys, keys.count() if count is None else count)
 
-    @F.pandas_udf("boolean")
-    def might(values: pd.Series) -> pd.Series:
-        return pd.Series(Bloom(shipped.value).might_hold(values.to_numpy(np.int64)))
+    @F.arrow_udf("boolean")
+    def might(values: pa.Array) -> pa.Array:
+        return pa.array(Bloom(shipped.value).might_hold(values.to_numpy(zero_copy_only=False).astype(np.int64)))
 
     return might

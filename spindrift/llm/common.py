@@ -2,90 +2,104 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-
-from pyspark.sql import DataFrame, SparkSession
+from contextvars import ContextVar
+from dataclasses import dataclass, field
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a record batch handed to Python: bounds a worker's memory with long texts.
-BATCH_ROWS = 1000
-
+from spindrift.session import delete_path, settings, shared_dir
 
-def prepare(spark: SparkSession) -> None:
-    """Bound the batches that go to Python workers, unless the session already does."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+#: Of a record batch handed to Python; they bound what the JVM and a worker hold at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
+_BATCHES = {"spark__sql__execution__arrow__maxRecordsPerBatch": str(BATCH_ROWS), "spark__sql__execution__arrow__maxBytesPerBatch": str(BATCH_BYTES)}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
+def prepare(spark: SparkSession) -> None:
+    """Bound the batches that go to Python workers, unless the session already does.
 
-    Where the setting is missing, a local master gets a temporary folder of its
-    own (tests); a real cluster must name one.
+    For operators whose result is a plan that runs later; the setting has to stay for it.  Others have :func:`workspace`.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spindrift-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key)
+        if not now.isdigit() or int(now) > most:
+            spark.conf.set(key, str(most))
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/spindrift/{name}-{uuid.uuid4().hex}"
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends there."""
+def store(df: DataFrame, name: str, **watched: Column) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: the lineage ends there.
+
+    ``watched`` aggregates are taken in the same job; the result has them as ``watched``, a dict.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    if _WORKSPACES:
-        _WORKSPACES[-1].append(path)
-    df.write.parquet(path)
-    release(spark)
+    if inner := _WORKSPACES.get():
+        inner[-1].paths.append(path)
+    seen = Observation() if watched else None
+    source = df.observe(seen, *[c.alias(k) for k, c in watched.items()]) if watched else df
+    # nobody reads this query's shuffles again: their files go at its end
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        source.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._stored_at = path  # noqa: SLF001
+    out._stored_at, out.watched = path, seen.get if seen else {}  # noqa: SLF001
     return out
 
 
-#: Paths stored in the workspaces that are open, the innermost last.
-_WORKSPACES: list[list[str]] = []
+def ship(spark: SparkSession, value: object) -> Broadcast:
+    """A broadcast; in a workspace it ends with that."""
+    out = spark.sparkContext.broadcast(value)
+    if inner := _WORKSPACES.get():
+        inner[-1].shipped.append(out)
+    return out
+
+
+@dataclass
+class _Workspace:
+    paths: list[str] = field(default_factory=list)
+    kept: list[str] = field(default_factory=list)
+    shipped: list[Broadcast] = field(default_factory=list)
+
+
+#: The workspaces that this thread has open, the innermost last.
+_WORKSPACES: ContextVar[tuple[_Workspace, ...]] = ContextVar("workspaces", default=())
 
 
 @contextmanager
 def workspace(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
-    """Deletes on leaving all that was stored within, but for what the function it gives has stored."""
-    mine: list[str] = []
-    kept: list[str] = []
-    _WORKSPACES.append(mine)
+    """Deletes on leaving all that was stored or shipped within, but for what the function it gives has stored."""
+    mine, outer = _Workspace(), _WORKSPACES.get()
+    token = _WORKSPACES.set((*outer, mine))
 
     def keep(df: DataFrame, name: str) -> DataFrame:
         out = store(df, name)
-        kept.append(out._stored_at)  # noqa: SLF001
+        mine.kept.append(out._stored_at)  # noqa: SLF001
         return out
 
     try:
-        yield keep
+        with settings(spark, **_BATCHES):
+            yield keep
     finally:
-        _WORKSPACES.remove(mine)
-        for path in mine:
-            if path not in kept:
+        _WORKSPACES.reset(token)
+        for path in mine.paths:
+            if path not in mine.kept:
                 delete_path(spark, path)
-        if _WORKSPACES:
-            _WORKSPACES[-1].extend(kept)
-        release(spark)
-
-
-def release(spark: SparkSession) -> None:
-    """Let the driver notice now which shuffles nobody can read any more; their files go then."""
-    gc.collect()
-    spark._jvm.System.gc()  # noqa: SLF001
+        for value in mine.shipped:
+            value.destroy()
+        if outer:
+            outer[-1].paths.extend(mine.kept)
 
 
 def drop_stored(df: DataFrame) -> None:
@@ -95,12 +109,6 @@ def drop_stored(df: DataFrame) -> None:
         delete_path(df.sparkSession, path)
 
 
-def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm  # noqa: SLF001
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)  # noqa: SLF001
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -108,3 +116,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, whatever else the table carries."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over batches, in a worker that gives memory back to the system when a task ends.
+
+    Workers wait for further tasks; what their allocators keep would count against the executor for as long.
+    """
+
+    def wrapped(batches: Iterator) -> Iterator:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
+def trim() -> None:
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int = 0, rows: int = 256, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows and about ``most`` bytes of the text in ``column``; one row at least."""
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        end, at = np.cumsum(size, dtype=np.int64), 0
+        while at < n:
+            fits = int(np.searchsorted(end, (end[at - 1] if at else 0) + most, "right"))
+            stop = min(n, at + rows, max(at + 1, fits))
+            yield batch.slice(at, stop - at)
+            at = stop

@@ -36,7 +36,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
@@ -88,12 +87,6 @@ def _parities(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits(out, axis=1).view(np.int64).reshape(len(sets), _PARITY)
 
 
-def _small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def _fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     one, two = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
     for k, s in enumerate(sets):
@@ -114,7 +107,7 @@ def _survey(documents: DataFrame, config: JaccardConfig) -> tuple[DataFrame, Bro
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(config.cells, np.uint32)
         names = [f.split()[0] for f in _FIRST.split(", ")]
-        for batch in _small(batches):
+        for batch in common.slices(batches, 2):
             sets = shingle_sets(batch.column(2), config.shingle)
             if sets:
                 every = np.concatenate(sets)
@@ -129,7 +122,7 @@ def _survey(documents: DataFrame, config: JaccardConfig) -> tuple[DataFrame, Bro
             none = pa.nulls(len(k), pa.int64())
             yield pa.record_batch([none, none, none, none, none, pa.nulls(len(k), pa.list_(pa.int64())), pa.array(k, pa.int64()), pa.array([pages[i].tobytes() for i in k], pa.binary())], names)
 
-    seen = common.store(_texts(documents).mapInArrow(run, _FIRST), "survey")
+    seen = common.store(_texts(documents).mapInArrow(common.frugal(run), _FIRST), "survey")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -143,10 +136,10 @@ def _survey(documents: DataFrame, config: JaccardConfig) -> tuple[DataFrame, Bro
 
     counts = np.zeros((config.cells // _PAGE, _PAGE), np.uint32)
     pages = seen.where("page is not null").select("page", "counts").repartition("page")
-    for r in pages.mapInArrow(merge, "page long, counts binary").toLocalIterator():
+    for r in pages.mapInArrow(common.frugal(merge), "page long, counts binary").toLocalIterator():
         counts[r.page] = np.frombuffer(r.counts, np.uint32)
     docs = seen.where("page is null").select("doc_id", "doc_key", "n", "cls", "check", "parity")
-    return docs, documents.sparkSession.sparkContext.broadcast(counts.reshape(-1)), int(counts.sum(dtype=np.uint64))
+    return docs, common.ship(documents.sparkSession, counts.reshape(-1)), int(counts.sum(dtype=np.uint64))
 
 
 def _texts(documents: DataFrame) -> DataFrame:
@@ -173,7 +166,7 @@ def _entries(documents: DataFrame, counts: Broadcast, total: int, config: Jaccar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pass_ = bloom.Bloom(known.value) if known is not None else None
-        for batch in _small(batches):
+        for batch in common.slices(batches):
             sets = shingle_sets(batch.column(0), config.shingle)
             cls, _ = _fingerprints(sets)
             found = [(prefix(s, counts.value, mean, config), k) for k, s in enumerate(sets) if len(s)]
@@ -193,7 +186,7 @@ def _entries(documents: DataFrame, counts: Broadcast, total: int, config: Jaccar
             yield pa.record_batch([pa.array(x) for x in (token.view(np.int64), cls[row[owner]].view(np.int64), size[owner], need[owner], central[owner])], names)
 
     schema = "token long, cls long" + ("" if known is None else ", n long, need long, central double")
-    return common.pick(documents, "text").mapInArrow(run, schema)
+    return common.pick(documents, "text").mapInArrow(common.frugal(run), schema)
 
 
 def _sets(documents: DataFrame, classes: DataFrame, needed: DataFrame, config: JaccardConfig) -> DataFrame:
@@ -208,14 +201,14 @@ def _sets(documents: DataFrame, classes: DataFrame, needed: DataFrame, config: J
         known = bloom.Bloom(shipped.value)
         for batch in batches:
             keep = known.might_hold(batch.column(0).to_numpy().astype(np.int64))
-            for part in _small(iter([batch.filter(pa.array(keep))])):
+            for part in common.slices(iter([batch.filter(pa.array(keep))]), 1):
                 if part.num_rows:
                     sets = shingle_sets(part.column(1), config.shingle)
                     # a document that the filter let through by chance only adds a class that nobody asks for
                     cls, _ = _fingerprints(sets)
                     yield pa.record_batch([pa.array(cls.view(np.int64)), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["cls", "shingles"])
 
-    found = _texts(documents).select("doc_key", "text").mapInArrow(run, "cls long, shingles array<long>")
+    found = _texts(documents).select("doc_key", "text").mapInArrow(common.frugal(run), "cls long, shingles array<long>")
     # a document may stand in several rows
     return found.groupBy("cls").agg(F.first("shingles").alias("shingles"))
 
@@ -255,27 +248,29 @@ def _merge(found: DataFrame | None, links: DataFrame) -> DataFrame:
     return common.store(moved.unionByName(new), "found")
 
 
-def _compare(pdf: pd.DataFrame, config: JaccardConfig) -> pd.DataFrame:
+def _compare(group: pa.Table, config: JaccardConfig) -> pa.Table:
     """A spanning forest of the similar pairs between the block's two sides."""
-    x, y = pdf[pdf["left"]].reset_index(drop=True), pdf[~pdf["left"]].reset_index(drop=True)
-    out = []
-    if len(x) and len(y):
-        flat = [np.concatenate([np.asarray(s, np.int64) for s in side["shingles"]]) for side in (x, y)]
-        rows = [np.repeat(np.arange(len(side)), side["shingles"].map(len)) for side in (x, y)]
+    left, cls = (group.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("left", "cls"))
+    lists, out = group.column("shingles").combine_chunks(), []
+    at = [np.flatnonzero(left), np.flatnonzero(~left)]
+    if len(at[0]) and len(at[1]):
+        sides = [lists.take(pa.array(k)) for k in at]
+        flat = [x.flatten().to_numpy() for x in sides]
+        size = [x.value_lengths().to_numpy() for x in sides]
+        rows = [np.repeat(np.arange(len(n)), n) for n in size]
         shared = np.intersect1d(flat[0], flat[1])
-        both = np.zeros((len(x), len(y)), np.float32)
-        at = [np.searchsorted(shared, f) for f in flat]
-        ok = [(a < len(shared)) & (shared[np.minimum(a, len(shared) - 1)] == f) if len(shared) else np.zeros(len(f), bool) for a, f in zip(at, flat, strict=True)]
+        both = np.zeros((len(at[0]), len(at[1])), np.float32)
+        where = [np.searchsorted(shared, f) for f in flat]
+        ok = [(a < len(shared)) & (shared[np.minimum(a, len(shared) - 1)] == f) if len(shared) else np.zeros(len(f), bool) for a, f in zip(where, flat, strict=True)]
         for lo in range(0, len(shared), _PAGE):
             m = []
-            for k, side in enumerate((x, y)):
-                here = ok[k] & (at[k] >= lo) & (at[k] < lo + _PAGE)
-                dense = np.zeros((len(side), _PAGE), np.float32)
-                dense[rows[k][here], at[k][here] - lo] = 1
+            for k in (0, 1):
+                here = ok[k] & (where[k] >= lo) & (where[k] < lo + _PAGE)
+                dense = np.zeros((len(at[k]), _PAGE), np.float32)
+                dense[rows[k][here], where[k][here] - lo] = 1
                 m.append(dense)
             both += m[0] @ m[1].T
-        size = [side["shingles"].map(len).to_numpy(np.float64) for side in (x, y)]
-        either = size[0][:, None] + size[1][None, :] - both
+        either = size[0][:, None].astype(np.float64) + size[1][None, :] - both
         parent: dict[int, int] = {}
 
         def find(k: int) -> int:
@@ -285,12 +280,12 @@ def _compare(pdf: pd.DataFrame, config: JaccardConfig) -> pd.DataFrame:
             return k
 
         for i, j in zip(*np.nonzero(config.den * both.astype(np.float64) >= config.num * either), strict=True):
-            a, b = int(x["cls"].iloc[i]), int(y["cls"].iloc[j])
+            a, b = int(cls[at[0][i]]), int(cls[at[1][j]])
             u, v = find(a), find(b)
             if u != v:
                 parent[max(u, v)] = min(u, v)
                 out.append((a, b))
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+    return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
 def _clusters(members: DataFrame, sets: DataFrame, config: JaccardConfig) -> DataFrame:
@@ -311,7 +306,7 @@ def _clusters(members: DataFrame, sets: DataFrame, config: JaccardConfig) -> Dat
     xs = base.where("left").select("hub", "cls", F.lit(True).alias("left"), F.col("bucket").alias("xb"), F.col("other").alias("yb"), F.col("left_part").alias("xp"), upto("their_all").alias("yp"))
     ys = base.where("their_lefts > 0").select("hub", "cls", F.lit(False).alias("left"), F.col("other").alias("xb"), F.col("bucket").alias("yb"), upto("their_lefts").alias("xp"), F.col("all_part").alias("yp"))
     met = xs.unionByName(ys).join(sets, "cls")
-    return met.groupBy("hub", "xb", "yb", "xp", "yp").applyInPandas(lambda pdf: _compare(pdf, config), "a long, b long")
+    return met.groupBy("hub", "xb", "yb", "xp", "yp").applyInArrow(lambda group: _compare(group, config), "a long, b long")
 
 
 def similar_components(documents: DataFrame, config: JaccardConfig = JaccardConfig()) -> DataFrame:

@@ -167,7 +167,7 @@ def train(documents: DataFrame, config: LangConfig, keep: Column | None = None)
                 g, n = np.unique(gram[owner == one], return_counts=True)
                 yield pa.record_batch([pa.array([str(one)] * len(g)), pa.array(g), pa.array(n)], ["lang", "gram", "n"])
 
-    grams = sample.select("lang", "text").mapInArrow(run, "lang string, gram long, n long")
+    grams = sample.select("lang", "text").mapInArrow(common.frugal(run), "lang string, gram long, n long")
     counts = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()  # bounded by the sample
     counts = counts.sort_values(["lang", "gram"])
     if not len(counts):
@@ -190,21 +190,19 @@ def predict(documents: DataFrame, model: LangModel | None, id_col: str = "doc_id
     """``doc_id, lang_pred, score, bits_per_byte`` for every row: one pass over the texts."""
     spark = documents.sparkSession
     common.prepare(spark)
-    shipped = spark.sparkContext.broadcast(model)  # bounded by the training sample
+    shipped = common.ship(spark, model)  # bounded by the training sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids, texts = part.column(0), part.column(1)
-                ok = has_letter(texts) & (m is not None)
-                bits = m.lengths(texts) if m is not None else np.zeros((len(texts), 1))
-                best = bits.argmin(1)
-                low = bits.min(1, keepdims=True)
-                score = np.where(ok, 1 / np.exp2(np.maximum(low - bits, -1000)).sum(1), 0.0)
-                size = np.maximum(np.diff(raw(texts)[1]), 1)
-                names = [m.languages[b] if k else UNKNOWN for b, k in zip(best, ok, strict=True)]
-                yield pa.record_batch([ids, pa.array(names, pa.string()), pa.array(score), pa.array(low[:, 0] / size)], ["doc_id", "lang_pred", "score", "bits_per_byte"])
-
-    return common.pick(documents, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double, bits_per_byte double")
+        for part in common.slices(batches, 1):
+            ids, texts = part.column(0), part.column(1)
+            ok = has_letter(texts) & (m is not None)
+            bits = m.lengths(texts) if m is not None else np.zeros((len(texts), 1))
+            best = bits.argmin(1)
+            low = bits.min(1, keepdims=True)
+            score = np.where(ok, 1 / np.exp2(np.maximum(low - bits, -1000)).sum(1), 0.0)
+            size = np.maximum(np.diff(raw(texts)[1]), 1)
+            names = [m.languages[b] if k else UNKNOWN for b, k in zip(best, ok, strict=True)]
+            yield pa.record_batch([ids, pa.array(names, pa.string()), pa.array(score), pa.array(low[:, 0] / size)], ["doc_id", "lang_pred", "score", "bits_per_byte"])
+
+    return common.pick(documents, id_col, text_col).mapInArrow(common.frugal(run), "doc_id long, lang_pred string, score double, bits_per_byte double")

@@ -147,11 +147,9 @@ def pack(documents: DataFrame, config: PackingConfig, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, packer = Tokenizer.shared(config.tokenizer_path), _Packer(config)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                for doc, ids in zip(part.column(0).to_pylist(), tokenizer.encode(part.column(1).to_pylist()), strict=True):
-                    yield from packer.add(doc, ids + end)
+        for part in common.slices(batches, 1, 128):
+            for doc, ids in zip(part.column(0).to_pylist(), tokenizer.encode(part.column(1).to_pylist()), strict=True):
+                yield from packer.add(doc, ids + end)
         yield from packer.flush()
 
-    return common.pick(documents, id_col, text_col).mapInArrow(run, SCHEMA)
+    return common.pick(documents, id_col, text_col).mapInArrow(common.frugal(run), SCHEMA)

@@ -90,7 +90,7 @@ def encode(column: pa.Array, passage_bytes: int) -> tuple[np.ndarray, np.ndarray
     return out, count
 
 
-def _runs(size: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def _runs(size: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of documents of together about ``most`` bytes."""
     total, lo = np.cumsum(size), 0
     while lo < len(size):
@@ -188,7 +188,7 @@ def train(documents: DataFrame, labels: DataFrame, config: QualityConfig, keep:
 
     # at most max_documents rows of an id and a label are broadcast
     texts = common.pick(documents, "doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "quality", "text")
-    rows = texts.mapInArrow(run, "doc_id long, quality int, x binary").collect()
+    rows = texts.mapInArrow(common.frugal(run), "doc_id long, quality int, x binary").collect()
     rows = sorted({r.doc_id: r for r in sorted(rows, key=lambda r: bytes(r.x))}.values(), key=lambda r: r.doc_id)
     bags = [np.frombuffer(r.x, np.float16).astype(np.float32).reshape(-1, FEATURES) for r in rows]
     return QualityModel(config).fit(bags, np.array([r.quality for r in rows], np.float32))
@@ -198,29 +198,25 @@ def score(documents: DataFrame, model: QualityModel, id_col: str = "doc_id", tex
     """``doc_id, score`` for every row: one pass over the texts."""
     spark = documents.sparkSession
     common.prepare(spark)
-    shipped = spark.sparkContext.broadcast(model)  # a fixed number of weights
+    shipped = common.ship(spark, model)  # a fixed number of weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                p = shipped.value.score(*encode(part.column(1), shipped.value.config.passage_bytes))
-                yield pa.record_batch([part.column(0), pa.array(np.clip(p, 0, 1))], ["doc_id", "score"])
+        for part in common.slices(batches, 1):
+            p = shipped.value.score(*encode(part.column(1), shipped.value.config.passage_bytes))
+            yield pa.record_batch([part.column(0), pa.array(np.clip(p, 0, 1))], ["doc_id", "score"])
 
-    return common.pick(documents, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+    return common.pick(documents, id_col, text_col).mapInArrow(common.frugal(run), "doc_id long, score double")
 
 
 def keep_good(documents: DataFrame, model: QualityModel, threshold: float, text_col: str = "text") -> DataFrame:
     """The rows of ``documents``, all columns, with a score of at least ``threshold``; each is judged where it lies."""
     spark = documents.sparkSession
     common.prepare(spark)
-    shipped, at = spark.sparkContext.broadcast(model), documents.columns.index(text_col)
+    shipped, at = common.ship(spark, model), documents.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
-                p = shipped.value.score(*encode(part.column(at), shipped.value.config.passage_bytes))
-                yield part.filter(pa.array(p >= threshold))
+        for part in common.slices(batches, at):
+            p = shipped.value.score(*encode(part.column(at), shipped.value.config.passage_bytes))
+            yield part.filter(pa.array(p >= threshold))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(common.frugal(run), documents.schema)

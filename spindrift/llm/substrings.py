@@ -78,17 +78,11 @@ def _texts(documents: DataFrame) -> DataFrame:
     return common.pick(documents, "doc_id", "text").select("doc_id", F.xxhash64("doc_id", "text").alias("doc_key"), "text")
 
 
-def _small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def repeated_kmers(documents: DataFrame, config: SubstringConfig) -> DataFrame:
     """``kmer``: those that windows are filed under and that occur at two places or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _small(batches):
+        for batch in common.slices(batches):
             w = words(batch.column(0))
             if not len(w.hash):
                 continue
@@ -97,7 +91,7 @@ def repeated_kmers(documents: DataFrame, config: SubstringConfig) -> DataFrame:
             above = _slide(np.where(exists, filed, np.uint64(0))[::-1], config.width, np.maximum, np.uint64(0))[::-1]
             yield pa.record_batch([pa.array(grams[(above == grams) & (grams != _NONE)].view(np.int64))], ["kmer"])
 
-    kmers = common.pick(documents, "text").mapInArrow(run, "kmer long")
+    kmers = common.pick(documents, "text").mapInArrow(common.frugal(run), "kmer long")
     return kmers.groupBy("kmer").agg(F.count("*").alias("n")).where("n > 1").select("kmer")
 
 
@@ -110,7 +104,7 @@ def runs(documents: DataFrame, kmers: DataFrame, count: int, config: SubstringCo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = bloom.Bloom(shipped.value)
-        for batch in _small(batches):
+        for batch in common.slices(batches, 2):
             w = words(batch.column(2))
             if len(w.hash) < config.window:
                 continue
@@ -142,7 +136,7 @@ def runs(documents: DataFrame, kmers: DataFrame, count: int, config: SubstringCo
             columns[1], columns[2], columns[6], columns[7] = batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), after, lists
             yield pa.record_batch(columns, [f.split()[0] for f in _RUNS.split(", ")])
 
-    return _texts(documents).mapInArrow(run, _RUNS)
+    return _texts(documents).mapInArrow(common.frugal(run), _RUNS)
 
 
 def compact(nodes: DataFrame) -> DataFrame:
@@ -246,12 +240,12 @@ def deduplicate(documents: DataFrame, config: SubstringConfig = SubstringConfig(
     """``doc_id, n_words, n_removed, kept`` (the words left, joined by one space) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _small(batches, 256):
+        for batch in common.slices(batches, 1):
             n_words, n_removed, kept = _cut(batch.column(1), batch.column(2))
             yield pa.record_batch([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
     rows = _with_spans(common.pick(documents, "doc_id", "text"), config).select("row.doc_id", "text", "spans")
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return rows.mapInArrow(common.frugal(run), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def without_repeats(documents: DataFrame, config: SubstringConfig = SubstringConfig()) -> DataFrame:
@@ -260,11 +254,11 @@ def without_repeats(documents: DataFrame, config: SubstringConfig = SubstringCon
     schema = T.StructType([rows.schema["row"], T.StructField("kept", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _small(batches, 256):
+        for batch in common.slices(batches, 1):
             _, n_removed, kept = _cut(batch.column(1), batch.column(2))
             yield pa.record_batch([batch.column(0), pa.array([k if n else None for k, n in zip(kept, n_removed, strict=True)], pa.string())], ["row", "kept"])
 
-    out = rows.select("row", "text", "spans").mapInArrow(run, schema)
+    out = rows.select("row", "text", "spans").mapInArrow(common.frugal(run), schema)
     text = F.coalesce("kept", "row.text")
     new = {"text": text} | ({"n_chars": F.when(F.col("kept").isNotNull(), F.length("kept")).otherwise(F.col("row.n_chars")).cast("long")} if "n_chars" in documents.columns else {})
     return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in documents.columns])

@@ -73,7 +73,7 @@ def clean(vectors: DataFrame) -> DataFrame:
             if out:
                 yield pa.record_batch([pa.array([r[c] for r in out]) for c in range(4)], ["vec_id", "label", "size", "unit"])
 
-    return usable.select("vec_id", "embedding", F.col("label").cast("long")).mapInArrow(run, "vec_id long, label long, size long, unit binary")
+    return usable.select("vec_id", "embedding", F.col("label").cast("long")).mapInArrow(common.frugal(run), "vec_id long, label long, size long, unit binary")
 
 
 def principal(units: DataFrame, size: int, dimensions: int) -> np.ndarray:
@@ -88,7 +88,7 @@ def principal(units: DataFrame, size: int, dimensions: int) -> np.ndarray:
         yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["m"])
 
     total = np.zeros((size, size))
-    for r in units.where(F.col("size") == size).select("unit").mapInArrow(run, "m binary").toLocalIterator():
+    for r in units.where(F.col("size") == size).select("unit").mapInArrow(common.frugal(run), "m binary").toLocalIterator():
         total += np.frombuffer(r.m, np.float64).reshape(size, size)
     return np.linalg.eigh(total)[1][:, ::-1][:, :dimensions].copy()
 
@@ -159,7 +159,7 @@ def _links(vectors: DataFrame, config: VectorConfig) -> DataFrame:
 
 def _links_of(classes: DataFrame, size: int, config: VectorConfig) -> tuple[DataFrame, DataFrame]:
     spark = classes.sparkSession
-    axes = spark.sparkContext.broadcast(principal(classes, size, min(config.dimensions, size)))  # size x dimensions
+    axes = common.ship(spark, principal(classes, size, min(config.dimensions, size)))  # size x dimensions
     grid = min(config.grid_dimensions, size)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +169,7 @@ def _links_of(classes: DataFrame, size: int, config: VectorConfig) -> tuple[Data
                 cell = np.floor(p[:, :grid] / config.eps).astype(np.int32)
                 yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array(cell.tolist(), pa.list_(pa.int32())), pa.array([r.tobytes() for r in p], pa.binary())], ["label", "unit", "rep", "n", "cell", "place"])
 
-    placed = classes.select("label", "unit", "rep", "n").mapInArrow(project, "label long, unit binary, rep long, n long, cell array<int>, place binary")
+    placed = classes.select("label", "unit", "rep", "n").mapInArrow(common.frugal(project), "label long, unit binary, rep long, n long, cell array<int>, place binary")
     # the epsilon grid order of each label, in ranges; a range is cut into blocks where it lies
     order = ["label", "cell", "rep"]
 
@@ -195,7 +195,7 @@ def _links_of(classes: DataFrame, size: int, config: VectorConfig) -> tuple[Data
 
     ranged = placed.repartitionByRange(*order).sortWithinPartitions(*order).select("label", "unit", "rep", "place", "n")
     blocks = "block long, label long, low array<double>, high array<double>, units binary, places binary, reps array<long>, counts array<long>"
-    blocks = common.store(ranged.mapInArrow(cut, blocks), "blocks")
+    blocks = common.store(ranged.mapInArrow(common.frugal(cut), blocks), "blocks")
     # pairs of blocks: of one label, and near in the first dimension's cells, then in all
     box = blocks.select("block", "label", "low", "high")
     cells = F.sequence(F.floor(F.col("low")[0] / config.eps), F.floor(F.col("high")[0] / config.eps) + 1)
@@ -236,5 +236,5 @@ def _links_of(classes: DataFrame, size: int, config: VectorConfig) -> tuple[Data
                 )
 
     met = met.join(box.select(F.col("block").alias("x"), "label"), "x").repartition(F.xxhash64("x", "y"))
-    found = common.store(met.mapInArrow(compare, "rep long, links long, other long, label long"), "found")
+    found = common.store(met.mapInArrow(common.frugal(compare), "rep long, links long, other long, label long"), "found")
     return found.where("other is null").select("rep", "label", "links"), found.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b"))

@@ -168,8 +168,8 @@ def token_counts(documents: DataFrame, path: str, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = UnigramCounter.shared(path)
-        for batch in batches:
+        for batch in common.slices(batches, 1):
             found = counter.counts(batch.column(1).to_pylist())
             yield pa.record_batch([batch.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "n_tokens", "score"])
 
-    return common.pick(documents, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, score double")
+    return common.pick(documents, id_col, text_col).mapInArrow(common.frugal(run), "doc_id long, n_tokens long, score double")

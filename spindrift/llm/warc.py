@@ -200,7 +200,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     a revisit says.  ``intact``: a response's bytes have the digest that its header claims.
     """
     common.prepare(spark)
-    found = common.store(_pieces(spark, path).mapInArrow(_scan, _SCANNED), "pieces")
+    found = common.store(_pieces(spark, path).mapInArrow(common.frugal(_scan), _SCANNED), "pieces")
     # a split's first piece begins where the split before ended: running sums over a file's splits
     w = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     base = found.groupBy("file", "split").agg(F.max("seen").alias("seen")).withColumn("base", F.coalesce(F.sum("seen").over(w), F.lit(0)))
@@ -269,7 +269,7 @@ def _reassemble(spark: SparkSession, path: str, placed: DataFrame, records: Data
         for row in _splits(batches):
             yield pa.record_batch([pa.array([v]) for v in row], ["file", "split", "place", "piece"])
 
-    again = _pieces(spark, path).mapInArrow(place, "file string, split long, place long, piece binary").where(might(key))
+    again = _pieces(spark, path).mapInArrow(common.frugal(place), "file string, split long, place long, piece binary").where(might(key))
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("start")
