@@ -157,3 +157,74 @@ select page_id, payload_bytes, payload_digest,
     case when revisit then keeper end as refers_to, true as intact
 from r
 """
+
+_WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+
+#: Components as the transitive closure of links (a, b) in both directions.
+_REACH = """
+), reach(a, b) as (
+    select distinct a, a from links union select reach.a, links.b from reach join links on links.a = reach.b
+), least as (
+    select a, min(b) as least from reach group by a
+)
+"""
+
+ORACLE_SQL["op6_epsilon_grid_join"] = f"""
+with recursive parts as (
+    select vec_id, label, embedding::double[] as v from embeddings where vec_id is not null and label is not null and embedding is not null
+), usable as (
+    select vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as u from parts
+    where len(v) > 0 and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and list_dot_product(v, v) > 0
+), links as (
+    select x.vec_id as a, y.vec_id as b from usable x join usable y using (label)
+    where x.vec_id <> y.vec_id and len(x.u) = len(y.u) and list_dot_product(x.u, y.u) >= 0.98
+{_REACH}, counts as (
+    select a, count(*) as n from links group by a
+)
+select e.vec_id, coalesce(n, 0)::bigint as n_links, coalesce(least, e.vec_id) as component_id, coalesce(least, e.vec_id) = e.vec_id as kept
+from embeddings e left join counts on counts.a = e.vec_id left join least on least.a = e.vec_id
+"""
+
+ORACLE_SQL["op8_adaptive_prefix_jaccard"] = f"""
+with recursive split as (
+    select doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as w from documents
+), sets as (
+    select doc_id, list_sort(list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [list_aggregate(w, 'string_agg', ' ')]
+        else list_transform(range(1, len(w) - 3), lambda k: list_aggregate(w[k:k + 4], 'string_agg', ' ')) end)) as s from split
+), classes as (
+    select s, len(s) as n, row_number() over () as c from (select distinct s from sets where len(s) > 0)
+), shingles as (
+    select c, n, unnest(s) as shingle from classes
+), pairs as (
+    select x.c as a, y.c as b from shingles x join shingles y using (shingle)
+    where x.c <> y.c and 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+    group by x.c, y.c, x.n, y.n having 100 * count(*) >= 80 * (x.n + y.n - count(*))
+), links as (
+    select a, b from pairs
+{_REACH}, ids as (
+    select doc_id, s, c, coalesce(least, c) as root from sets join classes using (s) left join least on least.a = c
+), named as (
+    select root, min(doc_id) as component_id from ids group by root
+)
+select doc_id, len(sets.s)::bigint as n_shingles, coalesce(component_id, sets.doc_id) as component_id
+from sets left join ids using (doc_id) left join named using (root)
+"""
+
+ORACLE_SQL["op10_debruijn_substring_dedup"] = f"""
+with split as (
+    select row_number() over () as r, doc_id, {_WORDS.format("coalesce(text, '')")} as w from documents
+), starts as (
+    select r, k, list_aggregate(w[k:k + 34], 'string_agg', ' ') as seq from (select r, w, unnest(range(1, len(w) - 33)) as k from split)
+), again as (
+    select r, k, count(*) over (partition by seq) > 1 as again from starts
+), places as (
+    select r, unnest(range(1, len(w) + 1)) as k, unnest(w) as word from split
+), marked as (
+    select r, k, word, coalesce(bool_or(again) over (partition by r order by k rows between 34 preceding and current row), false) as gone
+    from places left join again using (r, k)
+), kept as (
+    select r, count_if(gone) as n_removed, coalesce(string_agg(word, ' ' order by k) filter (where not gone), '') as text from marked group by r
+)
+select doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(text, '')) as kept_sha256
+from split left join kept using (r)
+"""
