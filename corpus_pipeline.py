@@ -4,6 +4,11 @@ Bad documents go, one document of each group of near copies stays, long repeated
 sequences are cut out of the texts, documents that leak the benchmark go, and what is
 left is tokenised and packed.  Every stage but the last returns the columns of
 ``documents``.
+
+Defined cases: a null or empty text is judged as an empty document by the classifier, is no near copy,
+and packs as its end id alone; texts of any length are read whole; of near copies, and so of repeated rows, the one
+with the smallest id stays; equal ids with unlike texts are documents of their own; an empty table gives
+no rows; extra columns, whatever their names, go through every stage but the last.
 """
 
 from __future__ import annotations
@@ -59,5 +64,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over all documents."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.store(stage(spark, docs, sf_dir), name)
+        with common.workspace(spark) as keep:  # a stage's own tables go with it
+            after = keep(stage(spark, docs, sf_dir), name)
+        common.drop_stored(docs)
+        docs = after
     return docs
