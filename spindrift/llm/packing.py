@@ -13,8 +13,10 @@ length is a power of two needs no padding.  Blocks are independent, so no row is
 shuffled, memory is bounded by a block plus the longest document, and a lost task
 is simply run again with the same result.
 
-Defined cases: a null text counts as empty (its only id is the end id); repeated
-rows and repeated ids are packed once per row; an empty table gives no rows.
+Defined cases: a null text counts as empty (its only id is the end id); texts of any length are tokenised
+whole and cut; documents of equal cost go in the order of the block, and of equally cheap sequences the first
+is taken; repeated rows and repeated ids are packed once per row; an empty table gives no rows; other columns,
+whatever their names, play no part.
 """
 
 from __future__ import annotations

@@ -14,10 +14,11 @@ Only document labels train it.  Training is on the driver, over at most
 and at most ``max_passages`` passages of each, drawn evenly; scoring covers every
 passage of every document, task by task, without a shuffle.
 
-Defined cases: a null or empty text is a bag with one empty passage; labels that are
-null or belong to no document are ignored, and of several labels of one document the
-smallest counts; without any labels (or with only one kind) every score is the share of
-label 1, or 1.0 if there are none.
+Defined cases: a null or empty text is a bag with one empty passage; texts of any length are scored
+whole; labels that are null or belong to no document are ignored, and of several labels of one document the
+smallest counts; of several rows of one labelled id one text is learnt from; a score is a function of the text
+alone, so repeated rows get equal ones; without any labels (or with only one kind) every score is the share of
+label 1, or 1.0 if there are none; an empty table gives no rows; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ beginning of a word, all scores are whole numbers (sums are then exact) and all
 a text's best segmentation is that of its words; new words are walked many at a time, and
 their results remembered in a bounded dictionary.  With other vocabularies whole texts are walked.
 
-Defined cases: a null or empty text has no tokens and score 0; repeated rows count each.
+Defined cases: a null or empty text has no tokens and score 0; texts of any length are read whole; equal
+scores are told apart as the tokenizer does; repeated rows count each; an empty table gives no rows; other
+columns, whatever their names, play no part.
 """
 
 from __future__ import annotations

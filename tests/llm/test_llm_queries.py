@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import corpus_pipeline
-from spindrift.llm.queries import QUERIES
+from spindrift.llm.queries import ORACLE_SQL, QUERIES
 
 
 def rows(sf_dir, sql):
@@ -40,9 +40,22 @@ def test_archive_digests(spark, sf_dir):
     assert {r.page_id: r.payload_digest for r in QUERIES["op9_warc_boundary_chain"](spark, sf_dir).collect()} == want
 
 
-def test_archives_are_the_sql_s(spark, sf_dir):
-    sql = contract.oracle_sql()["op9_warc_boundary_chain"]
-    assert sorted(map(tuple, QUERIES["op9_warc_boundary_chain"](spark, sf_dir).collect())) == sorted(rows(sf_dir, sql))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_rows_are_the_sql_s(spark, sf_dir, name):
+    got = QUERIES[name](spark, sf_dir)
+    want = rows(sf_dir, f"select {', '.join(got.columns)} from ({ORACLE_SQL[name]})")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_hosts_and_rules_are_the_sql_s(spark, sf_dir):
+    sql = """
+        with u as (select page_id, case when contains(url, '://') then regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*') else '' end as host, url from pages),
+        p as (select page_id, coalesce(translate(host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+            coalesce(case when contains(url, '://') then regexp_extract(substr(url, instr(url, '://') + 3 + length(host)), '^[^?#]*') else '' end, '') as path from u),
+        r(rule, host, path) as (values ('net/', 'net', '/'), ('example.net/en/', 'example.net', '/en/'), ('example.com/de/', 'example.com', '/de/'), ('org/fr/', 'org', '/fr/'))
+        select page_id, p.host, p.path, (select rule from r where (p.host = r.host or p.host like '%.' || r.host) and starts_with(p.path, r.path) order by length(rule) desc limit 1) from p"""
+    got = QUERIES["op4_link_graph_url_filter"](spark, sf_dir).select("page_id", "host", "path", "rule").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, rows(sf_dir, sql)))
 
 
 def test_pipeline(spark, sf_dir):
