@@ -7,19 +7,29 @@ the shared folder.  About log(n) rounds, and always as many as it takes until on
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm import common
 
 
-def _star(arcs: DataFrame, larger: bool) -> DataFrame:
-    """``arcs`` (u, v): links v (and u) to the smallest number around u."""
-    least = arcs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    met = arcs.join(least, "u")
-    if larger:
-        return met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+def _star(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``u, m`` (the smallest number around u, itself included), and the arcs (u, v) with that m.
+
+    The first is written, so the join has a shuffle of its own on both sides and Spark can split
+    a node with very many arcs among tasks.
+    """
+    least = common.store(arcs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+    return least, arcs.join(least, "u")
+
+
+def _falling(a: str, b: str) -> list[Column]:
+    return [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
+
+
+def _state() -> dict[str, Column]:
+    """What tells one set of links from another."""
+    return {"links": F.count(F.lit(1)), "mark": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
 
 
 def components(links: DataFrame, most_rounds: int | None = None) -> DataFrame:
@@ -27,22 +37,25 @@ def components(links: DataFrame, most_rounds: int | None = None) -> DataFrame:
 
     With ``most_rounds``, an error if labels are not stable by then.
     """
-    down = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    down = common.store(down, "links")
-    state, rounds = None, 0
-    while True:
+    down = common.store(links.select(*_falling("a", "b")).where("u <> v").distinct(), "links", **_state())
+    rounds = 0
+    while down.watched["links"]:
         if rounds == most_rounds:
             raise RuntimeError(f"components are not stable after {rounds} rounds")
         rounds += 1
-        both = down.unionByName(down.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both, True).where("u <> v").distinct()
-        small = _star(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), False)
-        new = common.store(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-        common.drop_stored(down)
+        # large star: every larger neighbour of u hangs on the smallest number around u
+        least, met = _star(down.unionByName(down.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        large = common.store(met.where("v > u").select(*_falling("v", "m")).where("u <> v").distinct(), "links")
+        common.drop_stored(least)
+        # small star: u and its smaller neighbours hang on the smallest of them
+        least, met = _star(large)
+        small = met.select(*_falling("v", "m")).unionByName(least.select(*_falling("u", "m")))
+        new = common.store(small.where("u <> v").distinct(), "links", **_state())
+        for old in (least, large, down):
+            common.drop_stored(old)
+        stable = new.watched == down.watched
         down = new
-        now = down.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
+        if stable:
             break
-        state = now
     out = down.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
     return out.unionByName(out.select(F.col("component_id").alias("id"), "component_id").distinct())
