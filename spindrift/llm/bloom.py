@@ -69,7 +69,7 @@ def build(keys: DataFrame, count: int) -> Broadcast:
 
     # each page of bits meets its like in one task; what reaches the driver is the filter once
     full = bytearray(bits >> 3)
-    for r in pages.repartition("page").mapInArrow(common.frugal(merged), "page long, bits binary").toLocalIterator():
+    for r in pages.repartition("page").mapInArrow(common.frugal(merged), "page long, bits binary").collect():  # the filter's size
         full[512 * r.page : 512 * (r.page + 1)] = r.bits
     return common.ship(keys.sparkSession, bytes(full))
 

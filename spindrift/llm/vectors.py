@@ -101,7 +101,7 @@ def principal(vectors: DataFrame, kind: np.dtype, dimensions: int) -> dict[int,
                 u, n = _unit(x), x.shape[1]
                 total[n] = total.get(n, 0) + u.T @ u
         for n, m in total.items():
-            yield pa.record_batch([pa.array([n]), pa.array([TaskContext.get().partitionId() % 16]), pa.array([m.tobytes()], pa.binary())], ["size", "part", "m"])
+            yield pa.record_batch([pa.array([n]), pa.array([TaskContext.get().partitionId() % 4]), pa.array([m.tobytes()], pa.binary())], ["size", "part", "m"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -113,7 +113,7 @@ def principal(vectors: DataFrame, kind: np.dtype, dimensions: int) -> dict[int,
 
     total: dict[int, np.ndarray] = {}
     parts = vectors.mapInArrow(common.frugal(run), "size long, part long, m binary").repartition("size", "part")
-    for r in parts.mapInArrow(common.frugal(merge), "size long, m binary").toLocalIterator():
+    for r in parts.mapInArrow(common.frugal(merge), "size long, m binary").collect():  # 4 matrices a length
         total[r.size] = total.get(r.size, 0) + np.frombuffer(r.m).reshape(r.size, r.size)
     return {n: np.linalg.eigh(m)[1][:, ::-1][:, : min(dimensions, n)].copy() for n, m in total.items()}
 
