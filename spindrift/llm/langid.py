@@ -10,17 +10,19 @@ counts ``n`` (sum N, D distinct) has, with escape method C,
 
 ending in the uniform distribution over 256 bytes.  Counts are frozen before scoring,
 so the exact code length of every byte is a fixed number; the tables hold it for every
-context of the trees, all languages side by side.  A text's language is the one with
-the shortest code for the whole text.
+gram of the trees, all languages side by side, and for every context what leaving it costs.  A text's
+language is the one with the shortest code for the whole text.
 
 Training reads at most about ``max_documents`` documents of each language (a hash of
 the id decides, with a share set from each language's count); they are used whole.
 The context counts are summed in Spark.  Scoring is one pass without a shuffle; what
-is broadcast is bounded by the training sample.
+is broadcast has a row of one number a language for each unlike gram of the training sample.
 
 Defined cases: a null text or one without any letter is ``und`` with score 0; letters are
-those of Unicode; equal code lengths go to the smaller language name; without any
-training text everything is ``und``.
+those of Unicode; texts of any length are read whole, long ones piece by piece with their context;
+equal code lengths go to the smaller language name; repeated rows each count in training and
+get equal results; without any training text everything is ``und``; an empty table gives no rows;
+other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -45,18 +47,60 @@ class LangConfig:
     max_documents: int = 600
 
 
+class _Index:
+    """Number -> its place among ``keys`` (distinct), or -1: an open hash table of twice their number or more."""
+
+    def __init__(self, keys: np.ndarray):
+        self.shift = np.uint64(64 - max(4, int(2 * len(keys)).bit_length()))
+        size = 1 << (64 - int(self.shift))
+        self.key, self.place = np.full(size, -1, np.int64), np.full(size, -1, np.int32)
+        at, left = self._first(keys), np.arange(len(keys))
+        while len(left):  # each cell takes one of those that want it; the others go on to the next cell
+            free = self.place[at[left]] < 0
+            self.place[at[left[free]]] = left[free]
+            settled = self.place[at[left]] == left
+            self.key[at[left[settled]]] = keys[left[settled]]
+            left = left[~settled]
+            at[left] = (at[left] + 1) & (size - 1)
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        at = self._first(keys)
+        out = self.place[at]
+        left = np.flatnonzero((out >= 0) & (self.key[at] != keys))
+        while len(left):
+            at[left] = (at[left] + 1) & (len(self.key) - 1)
+            out[left] = self.place[at[left]]
+            left = left[(out[left] >= 0) & (self.key[at[left]] != keys[left])]
+        return out
+
+
+@dataclass
+class Order:
+    """What a context tree has seen at one order, all languages side by side.
+
+    ``bits[gram]``: code lengths of a gram (a context and the byte behind it, packed, last byte lowest) that
+    some language has seen.  ``escape[context]``: what it costs to leave a context for the next shorter one.
+    """
+
+    grams: _Index
+    bits: np.ndarray
+    contexts: _Index
+    escape: np.ndarray
+
+
 @dataclass
 class LangModel:
-    """``symbol``: byte -> symbol (the last: not seen in training; 0 stands before a text's start).
-    ``context``: symbols of the last ``order`` bytes, as one number -> row;
-    ``bits[row * symbols + s]``: code lengths of s."""
+    """``orders[o]`` for every order from 0 on: as many rows as the training texts have unlike grams."""
 
     languages: list[str]
-    order: int
-    symbol: np.ndarray
-    symbols: int
-    context: np.ndarray
-    bits: np.ndarray
+    orders: list[Order]
+
+    @property
+    def order(self) -> int:
+        return len(self.orders) - 1
 
     def lengths(self, column: pa.Array) -> np.ndarray:
         """Code lengths in bits: documents x languages."""
@@ -67,28 +111,47 @@ class LangModel:
             skip = min(self.order, a - at[lo])  # bytes before the piece that are its context
             if b == a:
                 continue
-            s = self.symbol[LOWER[data[a - skip : b]]]
             first = np.maximum(at[lo:hi], a - skip) - (a - skip)
-            cost = self.bits[self._rows(s, first)[skip:]]
+            cost = self._costs(_grams(LOWER[data[a - skip : b]], first, self.order)[skip:])
             full = size[lo:hi] > 0
             sums = np.add.reduceat(cost.astype(np.float64), (np.maximum(at[lo:hi], a) - a)[full], axis=0)
             out[np.arange(lo, hi)[full]] += sums
         return out
 
-    def _rows(self, s: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Row of ``bits`` for each symbol; contexts don't reach over ``starts``."""
-        key = np.zeros(len(s), np.int64)
-        begins = np.zeros(len(s), np.int64)
-        starts = starts[starts < len(s)]
-        begins[starts] = starts
-        begins = np.maximum.accumulate(begins)
-        place = np.arange(len(s)) - begins
-        for k in range(self.order, 0, -1):
-            before = np.zeros(len(s), np.int64)
-            before[k:] = s[:-k]
-            before[place < k] = 0
-            key = key * self.symbols + before
-        return self.context[key].astype(np.int64) * self.symbols + s
+    def _costs(self, grams: np.ndarray) -> np.ndarray:
+        """Code lengths of the last byte of each gram of the highest order, a column for each language."""
+        out = np.zeros((len(grams), len(self.languages)), np.float32)
+        left = np.arange(len(grams))
+        for o in range(self.order, -1, -1):
+            table, part = self.orders[o], grams[left] & _mask(o + 1)
+            found = table.grams.find(part)
+            known = found >= 0
+            out[left[known]] += table.bits[found[known]]
+            left, part = left[~known], part[~known]
+            if not len(left):
+                return out
+            context = table.contexts.find(part >> 8)
+            out[left[context >= 0]] += table.escape[context[context >= 0]]
+        out[left] += 8  # bytes that no language has seen: one of 256
+        return out
+
+
+def _mask(n: int) -> np.int64:
+    return np.int64((1 << (8 * n)) - 1)
+
+
+def _grams(b: np.ndarray, starts: np.ndarray, order: int) -> np.ndarray:
+    """Each byte with the ``order`` bytes before it, packed; 0 stands before ``starts``."""
+    gram, begins = b.astype(np.int64), np.zeros(len(b), np.int64)
+    starts = starts[starts < len(b)]
+    begins[starts] = starts
+    place = np.arange(len(b)) - np.maximum.accumulate(begins)
+    for k in range(1, order + 1):
+        before = np.zeros(len(b), np.int64)
+        before[k:] = b[:-k]
+        before[place < k] = 0
+        gram |= before << (8 * k)
+    return gram
 
 
 def _pieces(size: np.ndarray, at: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int, int, int]]:
@@ -106,34 +169,22 @@ def _pieces(size: np.ndarray, at: np.ndarray, most: int = 1 << 20) -> Iterator[t
 
 def build(languages: list[str], grams: np.ndarray, lang: np.ndarray, count: np.ndarray, order: int) -> LangModel:
     """From counts of (order + 1)-grams, each packed with its last byte lowest; byte 0 stands before a text's start."""
-    used = np.unique(np.concatenate([(grams >> (8 * k)) & 255 for k in range(order + 1)]))
-    used = used[used > 0]
-    size, n_lang = len(used) + 2, len(languages)
-    symbol = np.full(256, size - 1, np.int64)
-    symbol[used] = np.arange(len(used)) + 1
-    byte = symbol[grams & 255]
-    key = np.zeros(len(grams), np.int64)  # the context, its latest symbol lowest
-    for k in range(order, 0, -1):
-        before = (grams >> (8 * k)) & 255
-        key = key * size + np.where(before > 0, symbol[before], 0)
-    context, first, tables = np.zeros(size**order, np.int32), 0, []
-    shorter, p = np.zeros(1, np.int64), np.full((1, size, n_lang), 1 / 256)
+    n_lang, orders = len(languages), []
+    below = lambda g: np.full((len(g), n_lang), 8.0)  # noqa: E731  bits of g's last byte at the next shorter order
     for o in range(order + 1):
-        part = key % size**o
-        known = np.unique(part)
-        cell = (np.searchsorted(known, part) * size + byte) * n_lang + lang
-        n = np.bincount(cell, weights=count, minlength=len(known) * size * n_lang).reshape(len(known), size, n_lang)
-        total, distinct = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True)
-        below = p[np.searchsorted(shorter, known % size ** max(o - 1, 0))]
-        escape = np.where(total > 0, distinct / np.maximum(total + distinct, 1), 1)
-        p = np.where(n > 0, n / np.maximum(total + distinct, 1), escape * below)
-        tables.append(-np.log2(p).astype(np.float32).reshape(-1, n_lang))
-        # every context of full order takes the row of its longest known part
-        every = np.arange(size**order) % size**o
-        at = np.minimum(np.searchsorted(known, every), len(known) - 1)
-        context = np.where(known[at] == every, first + at, context).astype(np.int32)
-        first, shorter = first + len(known), known
-    return LangModel(languages, order, symbol, size, context, np.concatenate(tables))
+        known, at = np.unique(grams & _mask(o + 1), return_inverse=True)
+        n = np.bincount(at * n_lang + lang, weights=count, minlength=len(known) * n_lang).reshape(-1, n_lang)
+        contexts, of = np.unique(known >> 8, return_inverse=True)
+        total, distinct = np.zeros((len(contexts), n_lang)), np.zeros((len(contexts), n_lang))
+        np.add.at(total, of, n)
+        np.add.at(distinct, of, n > 0)
+        escape = np.where(total > 0, -np.log2(np.maximum(distinct, 1) / np.maximum(total + distinct, 1)), 0.0)
+        seen = np.log2(np.maximum(total + distinct, 1))[of] - np.log2(np.maximum(n, 1))
+        bits = np.where(n > 0, seen, escape[of] + below(known & _mask(o)))
+        table = Order(_Index(known), bits.astype(np.float32), _Index(contexts), escape.astype(np.float32))
+        orders.append(table)
+        below = (lambda t, b: lambda g: b[t.grams.find(g)])(table, bits)
+    return LangModel(languages, orders)
 
 
 def train(documents: DataFrame, config: LangConfig, keep: Column | None = None) -> LangModel | None:
@@ -154,14 +205,8 @@ def train(documents: DataFrame, config: LangConfig, keep: Column | None = None)
         for batch in batches:
             lang = np.array(batch.column(0).to_pylist())
             data, at = raw(batch.column(1))
-            b = LOWER[data].astype(np.int64)
-            place = np.arange(len(b)) - np.repeat(at[:-1], np.diff(at))
-            gram = b.copy()
-            for k in range(1, order + 1):
-                before = np.zeros(len(b), np.int64)
-                before[k:] = b[:-k]
-                before[place < k] = 0
-                gram |= before << (8 * k)
+            b = LOWER[data]
+            gram = _grams(b, at[:-1], order)
             owner = np.repeat(lang, np.diff(at)) if len(b) else lang[:0]
             for one in np.unique(owner):
                 g, n = np.unique(gram[owner == one], return_counts=True)
