@@ -258,10 +258,10 @@ def leaks(documents: DataFrame, benchmark: DataFrame, config: TilingConfig = Til
     """One row per document and item that it leaks, with the tiles in words of each."""
     spark = documents.sparkSession
     common.prepare(spark)
-    blocks, texts, _ = _met(common.pick(documents, "doc_id", "text"), benchmark, config)
+    blocks, texts, apart = _met(common.pick(documents, "doc_id", "text"), benchmark, config)
     out = None
     for seeds in blocks:
-        shipped = common.ship(spark, seeds)  # at most a block
+        shipped = common.ship(spark, seeds) if apart is None else spark.sparkContext.broadcast(seeds)  # at most a block
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             seeds = shipped.value
@@ -275,6 +275,9 @@ def leaks(documents: DataFrame, benchmark: DataFrame, config: TilingConfig = Til
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], _NAMES)
 
         part = texts.mapInArrow(common.frugal(run), _LEAKS)
+        if apart is not None:  # one of many blocks: it goes before the next one comes
+            part = common.store(part, "leaks")
+            shipped.destroy()
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], _LEAKS) if out is None else out
 
@@ -286,7 +289,7 @@ def without_leaks(documents: DataFrame, benchmark: DataFrame, config: TilingConf
     at = documents.columns.index("text")
     blocks, out, apart = _met(documents, benchmark, config)
     for seeds in blocks:
-        shipped = common.ship(spark, seeds)  # at most a block
+        shipped = common.ship(spark, seeds) if apart is None else spark.sparkContext.broadcast(seeds)  # at most a block
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             for batch in common.slices(batches, at):
@@ -295,4 +298,7 @@ def without_leaks(documents: DataFrame, benchmark: DataFrame, config: TilingConf
                 yield batch.filter(pa.array(keep))
 
         out = out.mapInArrow(common.frugal(run), documents.schema)
+        if apart is not None:  # one of many blocks: it goes before the next one comes
+            out = common.store(out, "left")
+            shipped.destroy()
     return out if apart is None else out.unionByName(apart)
