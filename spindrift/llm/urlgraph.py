@@ -7,20 +7,22 @@ starts at hosts that rules block and follows links backwards (who links to the
 blocked is distrusted).  A host is a seed if one verdict of rules holds for at least
 ``seed_share`` of its pages, with its number of such pages as weight.  Mass that leaves hosts without a link on returns
 to the seeds.  A host whose distrust is above 0 and reaches ``ratio`` times its trust is
-blocked; every other host is allowed.  Nothing is subtracted on the way, so distrust is
-exactly 0 where no blocked seed is reached, and no bound depends on the table's size.
+blocked; every other host is allowed.
 
-Rounds go on until every host that mass can reach has some, and no host's mass changes by
-more than ``tolerance`` of itself over ``rounds_a_write`` rounds, so how far a host lies from
-a seed is no bound.  Mass too small for a double, some thousands of links off, counts as
-``LEAST`` and not as none.
+A round sends on only what hosts got in the round before, and adds it to what they have.  Nothing is subtracted,
+so distrust is exactly 0 where no blocked seed is reached.  Mass that finds no link on is not sent back to the
+seeds round by round: that would multiply all of a kind's masses by one number, so they are divided by their
+sum at the end instead.  No bound depends on the table's size.  Rounds go on until no host gets more than
+``tolerance`` of what it has, and none gets its first, so how far a host lies from a seed is no bound.  Mass too
+small for a double, some thousands of links off, counts as ``LEAST`` and not as none.
 
 Everything is a DataFrame: links are pulled out and summed before any shuffle, joins
-are on hosts, and the scores are written to the shared folder every few rounds.
+are on hosts, and the scores are written to the shared folder every round.
 
 Defined cases: a null url or one without ``://`` has the empty host and path, fits no
-rule and is allowed by the method; null html has no links; repeated rows count as often
-as they occur; an empty table gives no rows.
+rule and is allowed by the method; null html has no links; urls and html of any length are read whole; a host whose
+distrust equals its trust is blocked; of rules that fit and are equally long the last in alphabetical order wins; repeated
+rows count as often as they occur; an empty table gives no rows; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -55,8 +57,6 @@ class Rule:
 @dataclass(frozen=True)
 class GraphConfig:
     damping: float = 0.85
-    rounds: int = 12
-    rounds_a_write: int = 4
     tolerance: float = 1e-6
     ratio: float = 1.0
     seed_share: float = 0.5
@@ -94,42 +94,29 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return found.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def _settled(old: DataFrame, new: DataFrame, tolerance: float) -> bool:
-    """No mass of ``new`` is of a new host or further from its ``old`` one than ``tolerance`` of itself."""
-    met = new.join(old.withColumnRenamed("mass", "was"), ["kind", "host"], "left")
-    return met.where(F.col("was").isNull() | (F.abs(F.col("mass") - F.col("was")) > tolerance * F.col("mass"))).isEmpty()
-
-
-def propagate(edges: DataFrame, seeds: DataFrame, config: GraphConfig, tolerance: float | None = None) -> DataFrame:
-    """``host, trust, distrust``; ``seeds`` has ``kind`` (allow or block), ``host``, ``mass`` (sums to 1 a kind).
-
-    ``config.rounds`` rounds without a ``tolerance``, else at least as many and on until all mass is settled.
-    """
+def propagate(edges: DataFrame, seeds: DataFrame, config: GraphConfig) -> DataFrame:
+    """``host, trust, distrust``; ``seeds`` has ``kind`` (allow or block), ``host``, ``mass`` (sums to 1 a kind)."""
     arcs = edges.select(F.lit(ALLOW).alias("kind"), "src", "dst", "weight").unionByName(
         edges.select(F.lit(BLOCK).alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     )
     out = arcs.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
-    arcs = common.store(arcs.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("total")).alias("share")), "arcs")
-    if arcs.isEmpty():  # nothing to follow: the seeds keep all
-        scores = seeds
-    else:
-        scores = written = seeds
-        k, settled = 0, False
-        while k < config.rounds or (tolerance is not None and not settled):
-            sent = scores.join(arcs, ["kind", "host"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("mass") * F.col("share")).alias("got"))
-            lost = sent.groupBy("kind").agg(F.sum("got").alias("kept"))  # two rows at most
-            both = seeds.withColumnRenamed("mass", "seed").join(sent, ["kind", "host"], "full").join(F.broadcast(lost), "kind", "left")
-            rest = 1 - config.damping * F.coalesce("kept", F.lit(0.0))
-            mass = config.damping * F.coalesce("got", F.lit(0.0)) + rest * F.coalesce("seed", F.lit(0.0))
-            scores = both.select("kind", "host", F.greatest(mass, F.lit(LEAST)).alias("mass"))
-            k += 1
-            if k % config.rounds_a_write == 0 or k == config.rounds:
-                scores = common.store(scores, "mass")
-                settled = tolerance is not None and k >= config.rounds and _settled(written, scores, tolerance)
-                common.drop_stored(written) if written is not seeds else None
-                written = scores
-    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("mass")).otherwise(0.0))
-    return scores.groupBy("host").agg(of(ALLOW).alias("trust"), of(BLOCK).alias("distrust"))
+    arcs = arcs.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("total")).alias("share"))
+    arcs = common.store(arcs, "arcs", number=F.count(F.lit(1)))
+    state = seeds.withColumn("new", F.col("mass"))
+    moving = arcs.watched["number"]
+    while moving:
+        # both sides are written tables, so Spark can split a host with very many links among tasks
+        step = F.greatest(config.damping * F.col("new") * F.col("share"), F.lit(LEAST))
+        sent = state.where("new > 0").join(arcs, ["kind", "host"]).select("kind", F.col("dst").alias("host"), step.alias("mass"), step.alias("new"))
+        after = sent.unionByName(state.select("kind", "host", "mass", F.lit(0.0).alias("new")))
+        after = after.groupBy("kind", "host").agg(F.sum("mass").alias("mass"), F.sum("new").alias("new"))
+        after = common.store(after, "mass", moving=F.count_if(F.col("new") > config.tolerance * F.col("mass")))
+        common.drop_stored(state)
+        state, moving = after, after.watched["moving"]
+    whole = state.groupBy("kind").agg(F.sum("mass").alias("whole"))  # two rows at most
+    shares = state.join(F.broadcast(whole), "kind")
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("mass") / F.col("whole")).otherwise(0.0))
+    return shares.groupBy("host").agg(of(ALLOW).alias("trust"), of(BLOCK).alias("distrust"))
 
 
 def judge(pages: DataFrame, rules: list[Rule], config: GraphConfig = GraphConfig()) -> DataFrame:
@@ -143,12 +130,10 @@ def judge(pages: DataFrame, rules: list[Rule], config: GraphConfig = GraphConfig
     seeds = sides.where((F.col("n") > 0) & (F.col("n") >= config.seed_share * F.col("pages")))
     total = seeds.groupBy("kind").agg(F.sum("n").alias("total"))  # two rows at most
     seeds = common.store(seeds.join(F.broadcast(total), "kind").select("kind", "host", (F.col("n") / F.col("total")).alias("mass")), "seeds")
-    scores = propagate(host_edges(common.pick(pages, "url", "html")), seeds, config, config.tolerance)
+    scores = propagate(host_edges(common.pick(pages, "url", "html")), seeds, config)
     judged = scores.withColumn("bad", (F.col("distrust") > 0) & (F.col("distrust") >= config.ratio * F.col("trust")))
-    # pages of one host may be a third of all: its score goes to several places
-    salt = F.pmod(F.xxhash64("page_id"), F.lit(16)).cast("int")
-    spread = judged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    out = urls.withColumn("salt", salt).join(spread, ["host", "salt"], "left")
+    # pages of one host may be a third of all: a join of two tables as they are, which Spark can split
+    out = urls.join(common.store(judged, "judged"), "host", "left")
     verdict = F.coalesce("fit.verdict", F.when(F.col("bad"), BLOCK).otherwise(ALLOW))
     zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
     return out.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), zero("trust"), zero("distrust"))
