@@ -25,7 +25,8 @@ equal windows are filed alike.
 
 Defined cases: null and empty texts have no words; repeated rows are documents of their own, so
 all their long sequences are repeated; documents shorter than a window stay as
-they are; an empty table gives no rows.  Equality is that of two 64-bit hashes of the words.
+they are; texts of any length are read whole; an empty table gives no rows; other columns, whatever their names,
+play no part and stay as they are.  Equality is that of two 64-bit hashes of the words.
 """
 
 from __future__ import annotations
@@ -149,16 +150,20 @@ def compact(nodes: DataFrame) -> DataFrame:
     then = nodes.select(F.col("node").alias("next"), F.col("n").alias("then_n"))
     ahead = nodes.where("next is not null").join(then, "next").where("n = then_n").select(F.col("next").alias("node"), F.col("node").alias("up"), F.col("n_windows").alias("behind"))
     ahead = ahead.groupBy("node").agg(F.min("up").alias("up"), F.min("behind").alias("behind"), F.count("*").alias("ways")).where("ways = 1").drop("ways")
-    state = common.store(ahead, "paths")  # node -> a node further up its path, and the windows between
+    state = common.store(ahead, "paths", going=F.count(F.lit(1)))  # node -> a node further up its path, and the windows between
+    going = state.watched["going"]
     for _ in range(64):
+        if not going:
+            break
         further = state.select(F.col("node").alias("up"), F.col("up").alias("top"), F.col("behind").alias("more"))
         moved = state.join(further, "up", "left")
-        new = common.store(moved.select("node", F.coalesce("top", "up").alias("up"), (F.col("behind") + F.coalesce("more", F.lit(0))).alias("behind"), F.col("top").isNotNull().alias("went")), "paths")
-        going = not new.where("went").isEmpty()
+        moved = moved.select("node", F.coalesce("top", "up").alias("up"), (F.col("behind") + F.coalesce("more", F.lit(0))).alias("behind"), F.col("top").isNotNull().alias("went"))
+        new = common.store(moved, "paths", going=F.count_if("went"))
         common.drop_stored(state)
-        state = new
-        if not going:
-            break
+        state, going = new, new.watched["going"]
+    else:
+        if going:
+            raise RuntimeError("paths are not at their heads after 64 rounds")
     tails = nodes.join(state.select("node", "up", "behind"), "node", "left")
     totals = tails.groupBy(F.coalesce("up", "node").alias("node")).agg(F.max(F.coalesce("behind", F.lit(0)) + F.col("n_windows")).alias("total"))
     return totals.join(state.select("node"), "node", "left_anti")
@@ -167,8 +172,8 @@ def compact(nodes: DataFrame) -> DataFrame:
 def repeated_spans(documents: DataFrame, config: SubstringConfig = SubstringConfig()) -> DataFrame:
     """``doc_id, doc_key, begin, end``: word ranges of repeated text; together they are all of it."""
     common.prepare(documents.sparkSession)
-    kmers = common.store(repeated_kmers(documents, config), "kmers")
-    found = common.store(runs(documents, kmers, kmers.count(), config), "runs")
+    kmers = common.store(repeated_kmers(documents, config), "kmers", number=F.count(F.lit(1)))
+    found = common.store(runs(documents, kmers, kmers.watched["number"], config), "runs")
     same = F.min("next") == F.max("next")
     nodes = found.groupBy("kmer", "node").agg(
         F.count("*").alias("n"),
@@ -176,22 +181,21 @@ def repeated_spans(documents: DataFrame, config: SubstringConfig = SubstringConf
         F.when(same & (F.count("next") == F.count("*")), F.min("next")).alias("next"),
     )
     nodes = common.store(nodes, "nodes")
-    heads = compact(nodes.where("n > 1"))
+    heads = common.store(compact(nodes.where("n > 1")), "heads")  # written, so Spark can split a node with very many occurrences
     whole = found.select("node", "doc_id", "doc_key", "first").join(heads, "node").select("doc_id", "doc_key", F.col("first").alias("begin"), (F.col("first") + F.col("total") + config.window - 1).alias("end"))
     # unlike nodes under one k-mer, one of them met only once: its windows may be in the others
     mixed = nodes.groupBy("kmer").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("kmer")
     # text that repeats itself may hold a window twice in one node
-    alone = nodes.groupBy("kmer").agg(F.count("*").alias("kinds"), F.max("n").alias("most")).where("kinds = 1 and most = 1").select("kmer")
-    both = mixed.unionByName(alone)
+    single = nodes.groupBy("kmer").agg(F.count("*").alias("kinds"), F.max("n").alias("most")).where("kinds = 1 and most = 1").select("kmer")
+    both = mixed.unionByName(single)
     both = common.store(both, "mixed")
     might = bloom.test(both)
-    seen = nodes.join(both, "kmer").select("kmer", "node", "n")
-    # most runs lie inside passages, under k-mers with one node: their hashes needn't move
-    met = found.select("kmer", "node", "doc_id", "doc_key", "first", "hashes").where(might("kmer")).join(seen, ["kmer", "node"])
-    # of a node met often, one occurrence stands for all
-    many = met.where("n > 1").groupBy("kmer", "node").agg(F.first("hashes").alias("hashes"), F.min("n").alias("n"))
-    many = many.select("kmer", "n", "hashes", *[F.lit(None).cast("long").alias(c) for c in ("doc_id", "doc_key", "first")])
-    once = met.where("n = 1").select("kmer", "n", "hashes", "doc_id", "doc_key", "first").unionByName(many)
+    seen = common.store(nodes.join(both, "kmer").select("kmer", "node", "n"), "seen")
+    # most runs lie inside passages, under k-mers with one node: their hashes needn't move; of a node met often, one
+    # occurrence stands for all, and all others are gone before the shuffle
+    alike = found.where(might("kmer")).groupBy("kmer", "node").agg(*[F.first(c).alias(c) for c in ("hashes", "doc_id", "doc_key", "first")])
+    alone = F.col("n") == 1
+    once = alike.join(seen, ["kmer", "node"]).select("kmer", "n", "hashes", *[F.when(alone, F.col(c)).alias(c) for c in ("doc_id", "doc_key", "first")])
     once = common.store(once.select("kmer", "n", "doc_id", "doc_key", F.posexplode("hashes").alias("place", "hash"), "first"), "windows")
     twice = once.groupBy("kmer", "hash").agg(F.sum("n").alias("times")).where("times > 1").select("kmer", "hash")
     part = once.where("n = 1").join(twice, ["kmer", "hash"]).select("doc_id", "doc_key", (F.col("first") + F.col("place")).alias("begin"))
@@ -222,6 +226,7 @@ def _cut(column: pa.Array, spans: pa.Array) -> tuple[np.ndarray, np.ndarray, lis
 
 def _with_spans(documents: DataFrame, config: SubstringConfig) -> DataFrame:
     """``row`` (all columns as one struct), ``text`` and ``spans`` (null: none) of every row."""
+    common.prepare(documents.sparkSession)  # for the rows that are read later, too
     with common.workspace(documents.sparkSession) as keep:
         spans = repeated_spans(documents, config).distinct()
         # bounded by a document
