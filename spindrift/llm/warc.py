@@ -22,8 +22,10 @@ put together again by offset.
 Payload bytes never cross the network for records without magic inside.
 
 Defined cases: null html is an empty payload; a null url gives ``urn:spindrift:none``; header
-values have control characters percent-encoded; pages without an id come back with a null one;
-repeated rows are written each; an empty table gives no records.
+values have control characters percent-encoded, and urls, headers and payloads may be of any length; pages
+without an id come back with a null one and are never a copy of others; repeated rows are written each,
+and of copies only those with a larger id than the smallest revisit it, so rows that share it are
+responses both; an empty table gives no records; other columns, whatever their names, are not written.
 """
 
 from __future__ import annotations
@@ -31,8 +33,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -55,22 +55,14 @@ def plan_records(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     rows = common.pick(pages, "page_id", "url", "html").withColumn("html", F.coalesce("html", F.lit("")))
     rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).withColumn("size", F.octet_length("html").cast("long"))
     keys = rows.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("keeper"), F.count("*").alias("n"))
-    same = common.store(keys.where("n > 1 and keeper is not null").select("digest", "keeper"), "copies")
-    number = same.count()
-    head = F.conv(F.substring("digest", 1, 15), 16, 10).cast("long")
-    if not number:
+    same = common.store(keys.where("n > 1 and keeper is not null").select("digest", "keeper"), "copies", number=F.count(F.lit(1)))
+    if not same.watched["number"]:
         return rows.withColumn("keeper", F.lit(None).cast("long"))
-    shipped = bloom.build(same.select(head.alias("key")), number)
-
-    @F.pandas_udf("boolean")
-    def might(keys: pd.Series) -> pd.Series:
-        return pd.Series(bloom.Bloom(shipped.value).might_hold(keys.to_numpy(np.int64)))
-
-    # unlike payloads stay in place; copies, perhaps a third of all, meet their group's row in 16 places
+    head = F.conv(F.substring("digest", 1, 15), 16, 10).cast("long")
+    might = bloom.test(same.select(head.alias("key")), same.watched["number"])
+    # unlike payloads stay in place; copies, perhaps a third of all, meet their group's row in a join that Spark can split
     rows = rows.withColumn("copied", (F.col("size") >= least_bytes) & might(head))
-    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(16)).cast("int")
-    spread = same.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    met = rows.where("copied").withColumn("salt", salt).join(spread, ["digest", "salt"], "left")
+    met = rows.where("copied").join(same, "digest", "left")
     met = met.withColumn("keeper", F.when(F.col("page_id") > F.col("keeper"), F.col("keeper")))
     columns = ["page_id", "url", "html", "digest", "size", "keeper"]
     return met.select(*columns).unionByName(rows.where("not copied").withColumn("keeper", F.lit(None).cast("long")).select(*columns))
@@ -259,11 +251,7 @@ def _reassemble(spark: SparkSession, path: str, placed: DataFrame, records: Data
     # where the piece lies in its split, as the second reading sees it
     wanted = common.store(wanted.withColumn("place", F.col("start") + len(MAGIC) - F.col("base")).drop("torn"), "torn")
     key = F.xxhash64("file", "split", "place")
-    shipped = bloom.build(wanted.select(key.alias("key")), wanted.count())
-
-    @F.pandas_udf("boolean")
-    def might(keys: pd.Series) -> pd.Series:
-        return pd.Series(bloom.Bloom(shipped.value).might_hold(keys.to_numpy(np.int64)))
+    might = bloom.test(wanted.select(key.alias("key")))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _splits(batches):
@@ -271,11 +259,11 @@ def _reassemble(spark: SparkSession, path: str, placed: DataFrame, records: Data
 
     again = _pieces(spark, path).mapInArrow(common.frugal(place), "file string, split long, place long, piece binary").where(might(key))
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("start")
-        body, length = int(pdf["body"].iloc[0]), int(pdf["length"].iloc[0])
-        payload = MAGIC.encode().join(pdf["piece"])[body : body + length]
-        return pd.DataFrame({"file": [pdf["file"].iloc[0]], "start": [pdf["owner"].iloc[0]], "whole_sha256": [hashlib.sha256(payload).hexdigest()]})
+    def join(pieces: pa.Table) -> pa.Table:
+        pieces = pieces.sort_by("start")
+        body, length = pieces["body"][0].as_py(), pieces["length"][0].as_py()
+        payload = MAGIC.encode().join(pieces["piece"].to_pylist())[body : body + length]
+        return pa.table({"file": [pieces["file"][0].as_py()], "start": [pieces["owner"][0].as_py()], "whole_sha256": [hashlib.sha256(payload).hexdigest()]})
 
     met = again.join(wanted, ["file", "split", "place"]).select("file", "owner", "start", "body", "length", "piece")
-    return met.groupBy("file", "owner").applyInPandas(join, "file string, start long, whole_sha256 string")
+    return met.groupBy("file", "owner").applyInArrow(join, "file string, start long, whole_sha256 string")
