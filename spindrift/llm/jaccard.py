@@ -26,8 +26,9 @@ pair is a candidate if it shares at least the smaller of its two ``l``.
 Similar pairs sharing a heavy shingle are found in 4, all others in 3; so components are exact.
 
 Defined cases: null texts and texts without words have the empty set and link with nothing;
-with fewer words than a shingle the whole sequence is the only one; repeated rows are in one
-class; rows without an id link with nothing and have no component; an empty table gives no rows.
+with fewer words than a shingle the whole sequence is the only one; a similarity of exactly ``num / den`` is a
+link; texts of any length are read whole; repeated rows are in one class; rows without an id link with
+nothing and have no component; an empty table gives no rows; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -136,7 +137,7 @@ def _survey(documents: DataFrame, config: JaccardConfig) -> tuple[DataFrame, Bro
 
     counts = np.zeros((config.cells // _PAGE, _PAGE), np.uint32)
     pages = seen.where("page is not null").select("page", "counts").repartition("page")
-    for r in pages.mapInArrow(common.frugal(merge), "page long, counts binary").toLocalIterator():
+    for r in pages.mapInArrow(common.frugal(merge), "page long, counts binary").collect():  # a fixed number of cells
         counts[r.page] = np.frombuffer(r.counts, np.uint32)
     docs = seen.where("page is null").select("doc_id", "doc_key", "n", "cls", "check", "parity")
     return docs, common.ship(documents.sparkSession, counts.reshape(-1)), int(counts.sum(dtype=np.uint64))
@@ -194,8 +195,8 @@ def _sets(documents: DataFrame, classes: DataFrame, needed: DataFrame, config: J
 
     They are made from the texts where they are used, which costs less than to keep them.
     """
-    wanted = common.store(classes.join(needed.distinct(), "cls").select("doc_key"), "wanted")
-    shipped = bloom.build(wanted, wanted.count())
+    wanted = common.store(classes.join(needed.distinct(), "cls").select("doc_key"), "wanted", number=F.count(F.lit(1)))
+    shipped = bloom.build(wanted, wanted.watched["number"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = bloom.Bloom(shipped.value)
@@ -229,7 +230,8 @@ def _verify(pairs: DataFrame, documents: DataFrame, classes: DataFrame, config:
     side = lambda c: sets.select(F.col("cls").alias(c), F.col("shingles").alias(f"of_{c}"))
     met = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
     both = F.size(F.array_intersect("of_a", "of_b"))
-    return met.select("a", "b", both.alias("both"), (F.size("of_a") + F.size("of_b") - both).alias("either")).where(config.den * F.col("both") >= config.num * F.col("either")).select("a", "b")
+    met = met.select("a", "b", both.alias("both"), (F.size("of_a") + F.size("of_b") - both).alias("either"))
+    return common.store(met.where(config.den * F.col("both") >= config.num * F.col("either")).select("a", "b"), "links")
 
 
 def _merge(found: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -238,8 +240,8 @@ def _merge(found: DataFrame | None, links: DataFrame) -> DataFrame:
         return common.store(components(links), "found")
     mark = lambda c: found.select(F.col("id").alias(c), F.col("component_id").alias(f"in_{c}"))
     ends = links.join(mark("a"), "a", "left").join(mark("b"), "b", "left").select(F.coalesce("in_a", "a").alias("a"), F.coalesce("in_b", "b").alias("b"))
-    ends = common.store(ends.where("a <> b").distinct(), "joins")
-    if ends.isEmpty():
+    ends = common.store(ends.where("a <> b").distinct(), "joins", number=F.count(F.lit(1)))
+    if not ends.watched["number"]:
         return found
     more = common.store(components(ends), "more")
     into = more.select(F.col("id").alias("component_id"), F.col("component_id").alias("into"))
@@ -311,7 +313,11 @@ def _clusters(members: DataFrame, sets: DataFrame, config: JaccardConfig) -> Dat
 
 def similar_components(documents: DataFrame, config: JaccardConfig = JaccardConfig()) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
-    common.prepare(documents.sparkSession)
+    return _rows(documents, config).select("doc_id", "n_shingles", "component_id")
+
+
+def _rows(documents: DataFrame, config: JaccardConfig) -> DataFrame:
+    """... and ``doc_key``, which rows of one id and text share, and ``root``, one number for each component."""
     with common.workspace(documents.sparkSession) as keep:
         return keep(_components(documents, config), "components")
 
@@ -321,8 +327,8 @@ def _components(documents: DataFrame, config: JaccardConfig) -> DataFrame:
     classes = docs.where("n > 0 and doc_id is not null").groupBy("cls", "check").agg(F.min("doc_id").alias("least_id"), F.min("doc_key").alias("doc_key"), F.min("n").alias("n"), F.first("parity").alias("parity"))
     classes = common.store(classes, "classes")
     tokens = _entries(documents, counts, total, config, None).groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("token")
-    tokens = common.store(tokens, "tokens")
-    known = bloom.build(tokens, tokens.count())
+    tokens = common.store(tokens, "tokens", number=F.count(F.lit(1)))
+    known = bloom.build(tokens, tokens.watched["number"])
     entries = _entries(documents, counts, total, config, known).groupBy("token", "cls").agg(F.min("n").alias("n"), F.min("need").alias("need"), F.min("central").alias("central"))
     entries = common.store(entries, "entries")
     kinds = entries.groupBy("token").agg(F.count("*").alias("df"), F.max(F.struct("central", "cls"))["cls"].alias("hub")).where("df > 1")
@@ -340,46 +346,51 @@ def _components(documents: DataFrame, config: JaccardConfig) -> DataFrame:
     best = ends.groupBy("a").agg(F.max(F.struct("shared", "b"))["b"].alias("b"))
     best = common.store(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "best")
     # everyone's best candidate first; then, of all others, only pairs that are still apart
-    links = common.store(_verify(best, documents, classes, config), "links")
-    found = _merge(None, links)
+    found = _merge(None, _verify(best, documents, classes, config))
     mark = lambda c: found.select(F.col("id").alias(c), F.col("component_id").alias(f"in_{c}"))
     apart = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(mark("a"), "a", "left").join(mark("b"), "b", "left")
     apart = common.store(apart.where(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).select("a", "b"), "apart")
-    links = common.store(_verify(apart, documents, classes, config), "links")
-    found = _merge(found, links)
+    found = _merge(found, _verify(apart, documents, classes, config))
     # members of heavy clusters that their hub didn't bring together
     label = lambda c, out: found.select(F.col("id").alias(c), F.col("component_id").alias(out))
     placed = heavy.join(label("cls", "own"), "cls", "left").join(label("hub", "main"), "hub", "left")
     placed = placed.withColumn("left", F.coalesce("own", "cls") != F.coalesce("main", "hub"))
     odd = placed.where("left").select("hub").distinct()
-    members = common.store(placed.join(odd, "hub").select("hub", "cls", "n", "left"), "members")
-    if not members.isEmpty():
+    members = common.store(placed.join(odd, "hub").select("hub", "cls", "n", "left"), "members", number=F.count(F.lit(1)))
+    if members.watched["number"]:
         some = _sets(documents, classes, members.select("cls"), config)
         found = _merge(found, common.store(_clusters(members, some, config), "links"))
     # a component's number is the smallest id of its classes
     rooted = classes.join(found.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("component_id", "cls"))
     rooted = common.store(rooted.select("cls", "check", "least_id", "root"), "rooted")
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    final = rooted.join(least, "root").select("cls", "check", "component_id")
+    least = common.store(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "least")
+    # all copies of a text, and all texts of a component, meet in joins of written tables, which Spark can split
+    final = common.store(rooted.join(least, "root").select("cls", "check", "root", "component_id"), "final")
     rows = docs.drop("parity").join(final, ["cls", "check"], "left")
+    has = F.col("doc_id").isNotNull() & (F.col("n") > 0)
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "doc_key", F.when(has, F.col("root")).alias("root"))
 
 
 def one_of_each(documents: DataFrame, config: JaccardConfig = JaccardConfig()) -> DataFrame:
-    """The rows of ``documents``, all columns, with one row of each component: that of its smallest id.
+    """The rows of ``documents``, all columns, with one row of each component: that of the smallest id.
 
-    Rows without an id or without words stay; of rows with one id one stays.
+    Where rows of that id have several texts of one component, the one with the smallest hash stays, and of equal
+    rows one. Rows without an id or without words stay.
     """
-    found = similar_components(documents, config)
-    per_id = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("times"))
-    # who goes, and which ids occur several times; all others stay where they are
-    touched = common.store(per_id.where("doc_id <> component_id or times > 1").select("doc_id", (F.col("doc_id") != F.col("component_id")).alias("goes")), "touched")
-    might = bloom.test(touched.select("doc_id"))
+    common.prepare(documents.sparkSession)  # for the rows that are read later, too
+    with common.workspace(documents.sparkSession) as keep:
+        found = _rows(documents, config).where("root is not null")
+        best = common.store(found.groupBy("root").agg(F.min(F.struct("doc_id", "doc_key")).alias("best")), "best")
+        judged = found.join(best, "root").select("doc_key", (F.struct("doc_id", "doc_key") != F.col("best")).alias("goes"))
+        per_key = judged.groupBy("doc_key").agg(F.bool_or("goes").alias("goes"), F.count("*").alias("times"))
+        # who goes, and which rows occur several times; all others stay where they are
+        touched = keep(per_key.where("goes or times > 1").select("doc_key", "goes"), "touched")
+    might = bloom.test(touched.select("doc_key"))
     # the rows travel as one struct, whatever their other columns are called
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
-    rows = rows.withColumn("doc_id", F.col("row.doc_id")).withColumn("maybe", F.col("doc_id").isNotNull() & might(F.coalesce("doc_id", F.lit(0))))
-    met = rows.where("maybe").join(touched, "doc_id", "left").where("goes is null or not goes")
-    several = met.where("goes is not null").groupBy("doc_id").agg(F.min_by("row", F.xxhash64("row.text")).alias("row"))
+    rows = rows.withColumn("doc_key", F.xxhash64("row.doc_id", "row.text")).withColumn("maybe", F.col("row.doc_id").isNotNull() & might("doc_key"))
+    met = rows.where("maybe").join(touched, "doc_key", "left").where("goes is null or not goes")
+    several = met.where("goes is not null").groupBy("doc_key").agg(F.first("row").alias("row"))
     kept = rows.where("not maybe").select("row").unionByName(met.where("goes is null").select("row")).unionByName(several.select("row"))
     return kept.select("row.*")
