@@ -15,6 +15,7 @@ from spindrift.operators.graph import Graph
 from spindrift.operators.sequence import with_next, with_number
 from spindrift.plans import clustering as cl
 from spindrift.plans import pagerank as pr
+from spindrift.session import settings
 from spindrift.sources.edge_list import read_edges, write_edges
 
 CLIQUES = [(a, b) for g in ((0, 1, 2), (3, 4, 5)) for a in g for b in g if a != b] + [(2, 3)]
@@ -163,6 +164,22 @@ def test_reader(spark, tmp_path, case, mode):
         assert sorted(map(tuple, read_edges(spark, str(tmp_path / "e"), mode).collect())) == sorted(expected)
 
 
+@pytest.mark.parametrize("per_line", [1, 2, 3, 7])
+def test_tokens_pair_up_across_splits_and_files_without_a_shuffle(spark, tmp_path, per_line):
+    rng, want = random.Random(per_line), []
+    (tmp_path / "e").mkdir()
+    for name, n in (("a", 5001), ("b", 1), ("c", 1300), ("d", 0), ("f", 700)):
+        tokens = [rng.randrange(10**6) for _ in range(n)]
+        lines = [" ".join(map(str, tokens[i : i + per_line])) for i in range(0, n, per_line)]
+        (tmp_path / "e" / name).write_text("\n".join(x + "\n" * rng.randrange(3) for x in lines))
+        want += zip(tokens[::2], tokens[1::2])
+    with settings(spark, spark__sql__files__maxPartitionBytes="4001", spark__sql__files__openCostInBytes="100"):
+        edges = read_edges(spark, str(tmp_path / "e"), "token")
+        assert spark.read.text(str(tmp_path / "e")).rdd.getNumPartitions() > 8
+    assert sorted(map(tuple, edges.collect())) == sorted(want)
+    assert "Exchange hashpartitioning" not in edges._jdf.queryExecution().toString()
+
+
 def test_missing_file_and_round_trip(spark, tmp_path):
     with pytest.raises(ValueError):
         read_edges(spark, str(tmp_path / "none"))
