@@ -115,6 +115,21 @@ def test_multilevel_ends_and_merges(spark):
     assert all(coarse[a] == coarse[b] for a in range(6) for b in range(6) if fine[a] == fine[b])
 
 
+def test_a_round_of_roots_writes_only_what_is_not_at_its_root(spark, monkeypatch):
+    rows, cut = [], cl.cut
+
+    def counted(df, **watched):
+        out = cut(df, **watched)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(cl, "cut", counted)
+    pairs = [(2 * v, 2 * v + 1) for v in range(50, 1050)]
+    ends = cl.roots(spark.createDataFrame([(v, max(v - 1, 0)) for v in range(64)] + [(b, a) for a, b in pairs] + [(a, a) for a, _ in pairs], "id long, parent long"))
+    assert sum(rows) < 4000
+    assert sorted(map(tuple, ends.collect())) == sorted([(v, 0) for v in range(64)] + [(v, a) for a, b in pairs for v in (a, b)])
+
+
 def test_structure(spark):
     g = make(spark, "gap")
     assert (g.num_vertices, g.num_edges) == (5, 3)
