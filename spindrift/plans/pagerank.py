@@ -73,7 +73,8 @@ def pagerank(graph: Graph, num_iters: int = 50, precision: str = "double", cut_e
     pairs = cut(graph.edges.groupBy("src", "dst").agg(F.count("*").alias("k")))
     distinct = Graph(pairs, graph.given)
     n, m = distinct.num_vertices, distinct.num_edges
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-m // PART_ARCS))
+    # the larger a part, the fewer partial sums: no more parts than tasks run at once, unless they'd be too large
+    parts = max(spark.sparkContext.defaultParallelism, -(-m // PART_ARCS))
     degrees = cut(pairs.groupBy("src").agg(F.sum("k").alias("degree"), F.count("*").alias("arcs")))
     arcs = pairs.join(degrees.drop("arcs"), "src").select("src", "dst", (F.col("k") / F.col("degree")).alias("w"))
     hubs = degrees.where(F.col("arcs") > max(hub_arcs, m // parts)).select("src")  # fewer than parts
@@ -82,8 +83,8 @@ def pagerank(graph: Graph, num_iters: int = 50, precision: str = "double", cut_e
         spread = cut(arcs.join(F.broadcast(hubs), "src"))
         arcs = arcs.join(F.broadcast(hubs), "src", "left_anti")
     stay = spark.range(n).select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("w"))
-    # the loop's plans are the same again and again, and nothing in them is left to adapt
-    with settings(spark, spark__sql__shuffle__partitions=str(parts), spark__sql__adaptive__enabled="false"):
+    # the loop's plans are the same again and again, and nothing in them is left to adapt; executors compile equal steps once
+    with settings(spark, spark__sql__shuffle__partitions=str(parts), spark__sql__adaptive__enabled="false", spark__sql__codegen__useIdInClassName="false"):
         dealt = arcs.unionByName(stay).repartition(parts, "src").persist()
         try:
             ranks = last = None  # all are 1 at first

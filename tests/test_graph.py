@@ -66,6 +66,16 @@ def test_pagerank(spark, name, k):
     assert values(pr.as_text(pr.pagerank(make(spark, name), k)), "rank") == RANKS[name, k].split()
 
 
+def test_pagerank_has_no_more_parts_than_tasks_run_at_once(spark):
+    rng = random.Random(7)
+    rows = [(rng.randrange(300), rng.randrange(300)) for _ in range(2000)]
+    want = values(pr.as_text(pr.pagerank(make(spark, rows), 3)), "rank")
+    with settings(spark, spark__sql__shuffle__partitions="64"):
+        ranks = pr.pagerank(make(spark, rows), 3)
+    assert len(ranks.inputFiles()) <= spark.sparkContext.defaultParallelism
+    assert values(pr.as_text(ranks), "rank") == want
+
+
 def test_pagerank_by_kernel_and_no_iterations(spark):
     g = make(spark, "multi_self")
     assert values(pr.as_text(gas.run(g, pr.PageRankKernel(3), 2)), "rank") == "1.150278 0.720556 0.574167".split()
