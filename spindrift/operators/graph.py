@@ -129,7 +129,7 @@ class Graph:
 
     def isolated(self) -> DataFrame:
         """Vertices that no edge names."""
-        named = self.edges.select(F.col("src").alias("id")).unionByName(self.edges.select(F.col("dst").alias("id"))).distinct()
+        named = self.edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
         return self.vertices().join(named, "id", "left_anti")
 
     def compact_ids(self) -> tuple[Graph, DataFrame]:

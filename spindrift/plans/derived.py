@@ -17,6 +17,10 @@ SQL = {
 SQL["D4"] = f"select src, dst from ({SQL['D2m']}) union all select dst, src from ({SQL['D2m']})"
 
 
+#: Rows of a part whose distinct pairs a task holds in memory.
+PART_ROWS = 1 << 19
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -30,9 +34,12 @@ def edges(spark: SparkSession, sf_dir: str, graph: str) -> DataFrame:
         orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("src"), F.lead("o_orderkey").over(w).alias("dst"))
         return orders.where("dst is not null")
     suppliers = table(spark, sf_dir, "supplier").count()
-    pairs = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + suppliers).alias("dst"))
+    lines = table(spark, sf_dir, "lineitem")
+    pairs = lines.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + suppliers).alias("dst"))
     if graph == "D2":
-        return pairs.distinct()
+        # hardly a pair repeats: summing them before the shuffle would hold a split's pairs in memory for nothing
+        parts = max(spark.sparkContext.defaultParallelism, -(-lines.count() // PART_ROWS))
+        return pairs.repartition(parts, "src", "dst").distinct()
     if graph == "D2m":
         return pairs
     return pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))

@@ -14,6 +14,7 @@ from spindrift.operators import gas
 from spindrift.operators.graph import Graph
 from spindrift.operators.sequence import with_next, with_number
 from spindrift.plans import clustering as cl
+from spindrift.plans import derived
 from spindrift.plans import pagerank as pr
 from spindrift.session import settings
 from spindrift.sources.edge_list import read_edges, write_edges
@@ -154,6 +155,18 @@ def test_structure(spark):
     assert [r.id for r in Graph(spark.createDataFrame([(7, 10**9)], "src long, dst long")).compact_ids()[1].orderBy("id").collect()] == [0, 1]
 
 
+def test_distinct_pairs_and_isolated_vertices_are_found_in_bounded_parts(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(derived, "PART_ROWS", 500)
+    pairs = derived.edges(spark, sf_dir, "D2")
+    assert pairs.rdd.getNumPartitions() == 12
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    assert "Aggregate" not in pairs._jdf.queryExecution().executedPlan().toString().split("Exchange")[-1]
+    assert plan(Graph(pairs).isolated()).count("FileScan") == 1
+    gaps = Graph(pairs.where("dst % 7 > 0 and src > 1"))
+    named = {v for r in gaps.edges.collect() for v in r}
+    assert {r.id for r in gaps.isolated().collect()} == set(range(gaps.num_vertices)) - named
+
+
 def test_adjacency_checks(spark):
     g = Graph.from_adjacency(spark.createDataFrame([(0, [2]), (1, []), (2, [])], "src long, dsts array<long>"))
     assert (g.num_vertices, g.num_edges) == (3, 1)
